@@ -30,6 +30,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once per row.
+
+    A plain projection may be merged into what reads it, and into a lambda's every call; what a
+    generator makes is not.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelark.llm.common import SPACES, later_occurrences, materialize
+from tapelark.llm.common import SPACES, later_occurrences, materialize, once
 
 RUN = 3
 
@@ -25,7 +25,7 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, mark, at, h): per row, numbers and hashes of the lines that have a word."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     placed = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.translate(p["x"], SPACES, "") != "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), placed.alias("p"))
+    rows = once(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col)), "p", placed)
     return rows.select("doc_id", "mark", F.transform("p", lambda p: p["i"]).alias("at"), F.transform("p", lambda p: F.xxhash64(p["x"])).alias("h"))
 
 

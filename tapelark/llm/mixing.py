@@ -19,25 +19,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelark.llm.common import WORD, materialize, sized, words
+from tapelark.llm.common import WORD, materialize, once, sized, words
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-BLOCK, SHARD, SEED = 64, 65536, "mix"
+BLOCK, SHARD, SEED = 64, 65536, 42
 ROUNDS = 24
 #: Documents of a source that are ordered together, about.
 RUN = 10_000
 
 
 def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
-    """Image of x under a pseudorandom permutation of 0..n-1 chosen by the string ``key``."""
+    """Image of x under a pseudorandom permutation of 0..n-1 chosen by the long ``key``."""
 
     def one(v: Column, k: Column) -> Column:
-        mine = F.conv(F.substring(F.md5(F.concat_ws(":", key, k.cast("string"))), 1, 12), 16, 10).cast("long")
-        other = F.pmod(F.pmod(mine, n) - v, n)
-        high = F.greatest(v, other)
-        bit = F.substring(F.md5(F.concat_ws(":", key, k.cast("string"), high.cast("string"))), 1, 1) < "8"
-        return F.when(bit, other).otherwise(v)
+        partner = F.pmod(F.pmod(F.xxhash64(key, k), n) - v, n)
+        return F.aggregate(F.array(partner), v, lambda a, o: F.when(F.xxhash64(key, k, F.greatest(a, o)) < 0, o).otherwise(a))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), one)
 
@@ -97,7 +94,7 @@ def placed(sizes: DataFrame) -> DataFrame:
     return joined.withColumn("start", F.col("base") + F.col("before")).drop("_s", "_r", "base", "before", "run")
 
 
-def slots(goal: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = SEED, passes: int = MAX_PASSES) -> DataFrame:
+def slots(goal: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, passes: int = MAX_PASSES) -> DataFrame:
     """(rank, shard, slot, index): for each slot of the mix, the block of its source that fills it.
 
     ``goal`` is a materialized result of ``targets``.
@@ -115,7 +112,7 @@ def slots(goal: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = S
         .withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
         .repartition("rank", "lot")
         .withColumn("r", F.explode(F.sequence(F.col("lot"), F.least(F.col("n"), F.col("lot") + step) - 1)))
-        .withColumn("at", permuted(F.col("first") + F.col("r"), F.lit(every).cast("long"), F.lit(f"{seed}:deal")))
+        .withColumn("at", permuted(F.col("first") + F.col("r"), F.lit(every).cast("long"), F.lit(seed).cast("long")))
     )
     drawn = dealt.groupBy("rank", F.floor(F.col("at") / shard).cast("long").alias("shard")).agg(F.count(F.lit(1)).alias("drawn"))
     along = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -127,8 +124,8 @@ def slots(goal: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: str = S
         "slot", F.explode(F.sequence(F.col("offset") + F.col("lot"), F.col("offset") + F.least(F.col("drawn"), F.col("lot") + step) - 1))
     )
     passed = F.floor(F.col("slot") / F.col("blocks")).cast("long")
-    key = F.concat_ws(":", F.lit(seed), F.col("rank").cast("string"), passed.cast("string"))
-    return numbered.select("rank", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key).alias("index"))
+    keyed = once(numbered, "key", F.xxhash64(F.lit(seed), "rank", passed))
+    return keyed.select("rank", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), F.col("key")).alias("index"))
 
 
 def pieces(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -200,9 +197,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     copies = matched.select("l.*", F.explode(F.filter(lists, lambda x: F.size(x) > 0)).alias("cut"))
     split = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    copies = copies.withColumn("_w", F.when(F.aggregate("cut", F.lit(0).cast("long"), lambda n, p: n + p["w1"] - p["w0"]) < F.col("_size"), split))
+    held_words = F.aggregate("cut", F.lit(0).cast("long"), lambda n, p: n + p["w1"] - p["w0"])
+    copies = once(copies, "_w", F.when(held_words < F.col("_size"), split))
     cut = F.array_join(F.transform("cut", lambda p: F.array_join(F.slice(F.col("_w"), (p["w0"] + 1).cast("int"), (p["w1"] - p["w0"]).cast("int")), " ")), "\n")
-    copies = copies.withColumn("_text", F.when(F.col("_w").isNull(), F.col(text)).otherwise(cut))
+    copies = once(copies, "_text", F.when(F.col("_w").isNull(), F.col(text)).otherwise(cut))
     out = []
     for k, c in enumerate(own):
         kind = docs.schema[c].dataType

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapelark.llm import priors
-from tapelark.llm.common import SPACES, materialize, sized, words
+from tapelark.llm.common import SPACES, materialize, once, sized, words
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 5, 10, 20
 SYMBOLS = "#*$%&|<>"
@@ -41,18 +41,17 @@ def figures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
-    out = docs.withColumn("_w", words(F.col(text_col))).withColumn("_l", lines)
-    out = out.withColumn("n_words", F.size("_w").cast("long"))
+    out = once(once(docs, "_w", words(F.col(text_col))), "_l", lines)
     hashes = F.expr(
         f"CASE WHEN size(_w) > {WINDOW} THEN transform(sequence(1, size(_w) - {WINDOW - 1}), i -> xxhash64(slice(_w, i, {WINDOW}))) ELSE array() END"
     )
-    out = out.withColumn("_h", hashes)
+    out = once(out, "_h", hashes)
+    out = once(out, "n_repeat_words", F.expr(REPEAT_WORDS)).withColumn("n_words", F.size("_w").cast("long"))
     return (
         out.withColumn("word_chars", F.length(F.translate(text, SPACES, "")).cast("long"))
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
         .withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
         .withColumn("_n_lines", F.size("_l").cast("long"))
-        .withColumn("n_repeat_words", F.expr(REPEAT_WORDS))
         .drop("_w", "_l", "_h")
     )
 
