@@ -17,10 +17,12 @@ other by a hash of their text; a null id comes first; an empty table gives no pa
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,51 +36,83 @@ from tapelark.llm.common import materialize, scratch, sized
 
 END_ID, PACK_BYTES = 0, 4 << 20
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1024, 8 << 10, 64 << 10, 3
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 600_000
-_chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
-#: White space but space and line end: beside it a chunk's bounds may cut through a run that belongs together.
+#: Units whose ids a worker remembers before it starts anew.
+REMEMBERED = 800_000
 _other_space = re.compile(r"[^\S \n]").search
+#: Where a cut would go through white space that the pre-tokenizer keeps together.
+_UNEVEN = ("  ", " \n", "\n ", "\n\n\n", "\0")
+
+
+class _Codes(dict):
+    """Number of each unit, in the order of first sight."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = code = len(self)
+        return code
 
 
 class Encoder:
-    """Whole-text ids by a byte-level BPE of the tokenizers library, with remembered chunks.
+    """Whole-text ids by a byte-level BPE of the tokenizers library, with remembered units.
 
     The byte-level pre-tokenizer never joins a character that is not white space with white space after
-    it, so the ids of a text are those of its chunks, each white space and the run after it. Texts for
-    which that does not hold (other white space, strings of added tokens) go to the library whole.
+    it; a space goes with the character after it, a line end stands alone. So the ids of a text are those
+    of its units, each a word with the space or line end before it. Texts for which that does not hold
+    (other or repeated white space, strings of added tokens) go to the library whole, and so do all texts
+    if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bool:
-        return bool(_other_space(text)) or any(x in text for x in self.added)
-
-    def _learn(self, new: list[str]) -> None:
-        got = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(got.ids, f"<u{self.width}").tobytes()
-        ends = np.searchsorted(np.array(got.word_ids), np.arange(1, len(new) + 1)) * self.width
-        start = 0
-        for chunk, end in zip(new, ends.tolist(), strict=True):
-            self.known[chunk] = raw[start:end]
-            start = end
+        kind = json.loads(self.tokenizer.to_str())
+        before = kind["pre_tokenizer"] or {}
+        self.by_unit = (
+            kind["normalizer"] is None and kind["model"]["type"] == "BPE" and before.get("type") == "ByteLevel"
+            and before.get("use_regex") is True and before.get("add_prefix_space") is False
+        )
+        self._forget()
+
+    def _forget(self) -> None:
+        self.codes, self.flat, self.ends = _Codes(), np.empty(0, f"<u{self.width}"), np.zeros(1, np.int64)
+
+    def _learn(self) -> None:
+        """Ids of units seen since the last time, from the library."""
+        known = len(self.ends) - 1
+        new = list(islice(self.codes, known, None))
+        if not new:
+            return
+        texts = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else " " + u for u in new]
+        got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(1, len(new) + 1))
+        self.ends = np.concatenate([self.ends, ends + len(self.flat)])
+        self.flat = np.concatenate([self.flat, np.array(got.ids, self.flat.dtype)])
+
+    def _units(self, text: str) -> list[str] | None:
+        """The units of a text, the first marked as such; null if it has to go to the library whole."""
+        if not self.by_unit or any(x in text for x in _UNEVEN) or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n":
+            return None
+        if _other_space(text) or any(x in text for x in self.added):
+            return None
+        units = text.replace("\n", " \n").split(" ")
+        units[0] = "\0" + units[0]
+        return units
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``width``."""
-        cut = [None if self._whole(t or "") else _chunks(t or "") for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = set().union(*[c for c in cut if c]) - self.known.keys()
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
+        if len(self.codes) > REMEMBERED:
+            self._forget()
+        cut = [self._units(t or "") for t in texts]
+        counts = np.array([len(u) if u else 0 for u in cut], np.int64)
+        codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(u for u in cut if u)), np.int64, counts.sum())
+        self._learn()
+        starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
+        bounds = before[np.concatenate([[0], np.cumsum(counts)])].tolist()
         return [
-            b"".join(map(get, c)) if c is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-            for c, t in zip(cut, texts, strict=True)
+            ids[bounds[k] : bounds[k + 1]].tobytes() if u else np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, ids.dtype).tobytes()
+            for k, (u, t) in enumerate(zip(cut, texts, strict=True))
         ]
 
 
