@@ -14,6 +14,7 @@ from tapelark import viewer
 from tapelark.config import band, check_tags, estimate, estimate_line, parse_trigger, read_watchlist
 from tapelark.errors import AlreadyThere, BadInput, NotFound, SealBroken, TapeError, TooLarge
 from tapelark.functions import addresses
+from tapelark.functions.formats import json_lines
 from tapelark.operators import compare as cohorts
 from tapelark.operators import report, seal
 from tapelark.operators.frame import TABLE_ADDRESSES, deep_frame
@@ -86,7 +87,7 @@ def find(spark, store: Store, a) -> list[str]:
     checked = None if a.no_verify else store.verified()
     rows = find_runs(store.table("runs"), store.table("series"), store.table("hot") if store.has("hot") else None, a.query, a.limit, token_range(a.tokens) if a.tokens else None, verified=checked)
     if a.json:
-        return rows.toJSON().collect()
+        return [r.j for r in json_lines(rows).collect()]
     return [f"{r.run}  {r.address or '-'}@t{'-' if r.token is None else r.token}  {'-' if r.value is None else f'{r.value:.6g}'}  verified={str(r.hash_seal_verified).lower()}" for r in rows.collect()]
 
 
@@ -148,7 +149,7 @@ def view(spark, store: Store, a) -> list[str]:
 
 def size(spark, store: Store, a) -> list[str]:
     rows = report.by_run(store.sizes()).orderBy("run_id") if a.by_run else report.by_model(store.sizes()).orderBy("model")
-    return rows.toJSON().collect() if a.json else ["  ".join(map(str, r)) for r in rows.collect()]
+    return [r.j for r in json_lines(rows).collect()] if a.json else ["  ".join(map(str, r)) for r in rows.collect()]
 
 
 def export(spark, store: Store, a) -> list[str]:

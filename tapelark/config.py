@@ -130,12 +130,12 @@ class Watchlist:
     sha256: str = ""
     patch: dict | None = None
 
-    def addresses(self, spark, arch: dict[str, int] = addresses.DEFAULT_ARCH):
+    def listed(self, spark, arch: dict[str, int] = addresses.DEFAULT_ARCH):
         return addresses.catalogue(spark, list(self.entries), arch)
 
     def width(self, spark, arch: dict[str, int] = addresses.DEFAULT_ARCH) -> int:
         """Exactly how many addresses are watched."""
-        return self.addresses(spark, arch).count()
+        return self.listed(spark, arch).count()
 
 
 def read_watchlist(path: str, add: list[str] | None = None, window: Window | None = None, trigger: str | dict | None = None, precision: str | None = None, _seen: tuple[str, ...] = ()) -> Watchlist:

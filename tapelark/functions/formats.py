@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,3 +92,8 @@ def canonical_json(text: pd.Series) -> pd.Series:
             return None
 
     return text.map(one)
+
+
+def json_lines(df: DataFrame) -> DataFrame:
+    """Each row as JSON text, in a column ``j``."""
+    return df.select(F.to_json(F.struct("*")).alias("j"))

@@ -19,7 +19,7 @@ def sparkline(long: DataFrame, width: int = 10) -> DataFrame:
     v = cells.known(F.col("value"))
     held = long.withColumn("_v", v).withColumn("_lo", F.min("_v").over(_along(width))).withColumn("_hi", F.max("_v").over(_along(width)))
     span = F.when(F.col("_hi") == F.col("_lo"), F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo"))
-    level = F.least(F.lit(7), F.floor((F.col("_v") - F.col("_lo")) / span * 8).cast("int"))
+    level = F.when(F.col("_v").isNotNull(), F.least(F.lit(7), F.floor((F.col("_v") - F.col("_lo")) / span * 8).cast("int")))
     return held.withColumn("level", level).withColumn("glyph", F.substring(F.lit(GLYPHS), level + 1, F.lit(1))).drop("_v", "_lo", "_hi")
 
 

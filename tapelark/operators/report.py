@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelark.config import OVERHEAD, band_column
 from tapelark.functions.formats import human_bytes
+from tapelark.plans.find import has_tag
 
 
 def model_key():
@@ -36,15 +37,13 @@ def retention_plan(runs: DataFrame, rules: list[dict]) -> DataFrame:
     ``rules`` are a policy's, in order: the first that matches decides. ``keep_runs`` keeps the newest
     of its matches and marks the others ``over_limit``; runs that no rule matches are ``unmatched``.
     """
-    from pyspark.sql import Window
-
     rule = F.lit(None).cast("int")
     for k, r in reversed(list(enumerate(rules))):
         m = r["match"]
         if "flag" in m:
             hit = F.coalesce(F.try_element_at("flags", F.lit(m["flag"])), F.lit(False))
         else:
-            hit = F.exists("tags", lambda t, v=m["tag"]: (t == v) | (F.regexp_replace(t, "(?s)^[^=]*=", "") == v))
+            hit = has_tag(F.col("tags"), m["tag"])
         rule = F.when(F.coalesce(hit, F.lit(False)), k).otherwise(rule)
     held = runs.withColumn("_rule", rule).withColumn("_k", F.row_number().over(Window.partitionBy("_rule").orderBy(F.col("run_id").desc())))
     keep = F.lit("unmatched")

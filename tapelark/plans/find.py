@@ -18,12 +18,17 @@ from tapelark.plans.query import CellCond, Find, RunCond, parse_find
 MAX_ROWS = 1000
 
 
+def has_tag(tags: Column, value: str) -> Column:
+    """Whether a tag is the value, or has it after its first equals sign."""
+    return F.coalesce(F.exists(tags, lambda t: (t == value) | (F.regexp_replace(t, "(?s)^[^=]*=", "") == value)), F.lit(False))
+
+
 def run_condition(cond: RunCond) -> Column:
     """A condition on a row of runs; for ``hash_fail`` the row carries ``hash_seal_verified``."""
     if cond.kind == "checkpoint":
         return F.regexp_replace("checkpoint_sha256", "sha256:", "") == cond.value
     if cond.kind == "tag":
-        return F.coalesce(F.exists("tags", lambda t: (t == cond.value) | (F.regexp_replace(t, "(?s)^[^=]*=", "") == cond.value)), F.lit(False))
+        return has_tag(F.col("tags"), cond.value)
     if cond.kind == "prompt":
         return F.coalesce(F.col("prompt.text").contains(cond.value), F.lit(False))
     if cond.value == "hash_fail":

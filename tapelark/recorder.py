@@ -8,6 +8,7 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,6 @@ def redacted(redactor: Callable | None, text: str, ids: list[int]) -> tuple[str,
 
 def redact(runs: DataFrame, redactor: Callable[[str], str]) -> DataFrame:
     """Runs with their prompts rewritten on the executors, marked in ``versions.redactor``."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series) -> pd.Series:

@@ -63,7 +63,8 @@ def matrices(series: DataFrame, watched: DataFrame, dtype: str = "fp16") -> Data
 class DeepBinSource(DataSource):
     """``spark.read.format("deepbin").option("path", ...).option("width", W).option("dtype", ...)``: (tok, col, value).
 
-    Ranges of tok and equality or lists of col are pushed down, if spark.sql.python.filterPushdown.enabled.
+    With the option pushdown "true", ranges of tok and equality or lists of col are pushed down; Spark wants
+    spark.sql.python.filterPushdown.enabled for that.
     """
 
     @classmethod
@@ -74,7 +75,7 @@ class DeepBinSource(DataSource):
         return "tok int, col int, value float"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+        return (_PushingReader if self.options.get("pushdown") == "true" else _Reader)(self.options)
 
 
 class _Part(InputPartition):
@@ -89,21 +90,6 @@ class _Reader(DataSourceReader):
         self.path, self.width, self.dtype = options["path"], int(options["width"]), options.get("dtype", "fp16")
         self.low, self.high, self.columns = 0, None, None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            bounds = {GreaterThan: (1, None), GreaterThanOrEqual: (0, None), LessThan: (None, -1), LessThanOrEqual: (None, 0), EqualTo: (0, 0)}.get(type(f))
-            if bounds and f.attribute == ("tok",):
-                if bounds[0] is not None:
-                    self.low = max(self.low, f.value + bounds[0])
-                if bounds[1] is not None:
-                    top = f.value + bounds[1]
-                    self.high = top if self.high is None else min(self.high, top)
-            elif isinstance(f, EqualTo | In) and f.attribute == ("col",):
-                some = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.columns = some if self.columns is None else self.columns & some
-            else:
-                yield f
-
     def _tokens(self) -> int:
         import os
 
@@ -125,3 +111,22 @@ class _Reader(DataSourceReader):
             [pa.array(np.repeat(np.arange(partition.low, partition.low + n, dtype=np.int32), len(columns))), pa.array(np.tile(np.array(columns, np.int32), n)), pa.array(part.ravel(), pa.float32())],
             names=["tok", "col", "value"],
         )
+
+
+class _PushingReader(_Reader):
+    """Spark refuses readers that take filters while its setting for that is off; hence a class of its own."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            bounds = {GreaterThan: (1, None), GreaterThanOrEqual: (0, None), LessThan: (None, -1), LessThanOrEqual: (None, 0), EqualTo: (0, 0)}.get(type(f))
+            if bounds and f.attribute == ("tok",):
+                if bounds[0] is not None:
+                    self.low = max(self.low, f.value + bounds[0])
+                if bounds[1] is not None:
+                    top = f.value + bounds[1]
+                    self.high = top if self.high is None else min(self.high, top)
+            elif isinstance(f, EqualTo | In) and f.attribute == ("col",):
+                some = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.columns = some if self.columns is None else self.columns & some
+            else:
+                yield f

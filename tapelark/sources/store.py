@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapelark import schema
 from tapelark.errors import AlreadyThere, NotFound
-from tapelark.functions.formats import canonical_json
+from tapelark.functions.formats import canonical_json, json_lines
 from tapelark.operators import hot as hot_ops
 from tapelark.operators import seal as seal_ops
 from tapelark.operators import wal as wal_ops
@@ -114,7 +114,7 @@ class Store:
     def export(self, run_id: str, out: str, with_manifest: bool = False, with_index: bool = False) -> list[str]:
         """A flat zip of one run: document, seal, series and, if asked for, manifest and hot rows."""
         run = self.table("runs").filter(F.col("run_id") == run_id)
-        first = run.toJSON().head()
+        first = json_lines(run).head()
         if first is None:
             raise NotFound(f"{run_id} not found")
         names = []
@@ -127,23 +127,23 @@ class Store:
                         f.write((line + "\n").encode())
                 names.append(name)
 
-            put("outer.json", [json.dumps(json.loads(first), sort_keys=True, indent=2)])
-            put("seal.json", of("seals").toJSON().collect()[:1])
-            put("series.jsonl", of("series").orderBy("address").toJSON().toLocalIterator())
+            put("outer.json", [json.dumps(json.loads(first.j), sort_keys=True, indent=2)])
+            put("seal.json", (r.j for r in json_lines(of("seals")).take(1)))
+            put("series.jsonl", (r.j for r in json_lines(of("series").orderBy("address")).toLocalIterator()))
             if with_index:
-                put("hot.jsonl", of("hot").orderBy("address").toJSON().toLocalIterator())
+                put("hot.jsonl", (r.j for r in json_lines(of("hot").orderBy("address")).toLocalIterator()))
             if with_manifest:
-                put("manifest.json", self.table("manifests").join(run.select("model_id", "checkpoint_sha256"), ["model_id", "checkpoint_sha256"]).toJSON().collect()[:1])
+                own = self.table("manifests").join(run.select("model_id", "checkpoint_sha256"), ["model_id", "checkpoint_sha256"])
+                put("manifest.json", (r.j for r in json_lines(own).take(1)))
         return names
 
 
 def write_folder(runs: DataFrame, path: str) -> None:
     """outer.json of each run, pretty and with sorted keys, on a local folder; for small exports and tests."""
-    for row in runs.toJSON().toLocalIterator():
-        doc = json.loads(row)
-        for key in ("replay",):
-            if isinstance(doc.get(key), str):
-                doc[key] = json.loads(doc[key])
+    for row in json_lines(runs).toLocalIterator():
+        doc = json.loads(row.j)
+        if isinstance(doc.get("replay"), str):
+            doc["replay"] = json.loads(doc["replay"])
         where = Path(path) / "runs" / doc["run_id"]
         where.mkdir(parents=True, exist_ok=True)
         (where / "outer.json").write_text(json.dumps(doc, sort_keys=True, indent=2) + "\n")
