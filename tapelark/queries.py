@@ -148,9 +148,9 @@ def find_range_min(spark, sf_dir):
     return _found(spark, sf_dir, "N-01-0005 AT tokens=0..9 MIN < -0.1")
 
 
-@query(_one("idx = 7", 0, 2000000000, "avg(v)", "> -0.01"))
+@query(_one("idx = 7", 0, 2000000000, "avg(v)", "< 0.01"))
 def find_range_mean(spark, sf_dir):
-    return _found(spark, sf_dir, "N-01-0007 MEAN > -0.01")
+    return _found(spark, sf_dir, "N-01-0007 MEAN < 0.01")
 
 
 @query(_one("idx = 7", 3, 30, "quantile_cont(v, 0.95)", "<= 0.25"))
