@@ -107,10 +107,12 @@ def slots(goal: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = S
     per = materialize(per, "slots")
     every = per.agg(F.sum("n")).first()[0] or 0
     step = 4096
+    # A number of its own: by size alone, the short rows below would be put in one partition before they unfold.
+    parts = max(2 * goal.sparkSession.sparkContext.defaultParallelism, every // 100_000)
     dealt = (
         per.filter("n > 0")
         .withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
-        .repartition("rank", "lot")
+        .repartition(parts, "rank", "lot")
         .withColumn("r", F.explode(F.sequence(F.col("lot"), F.least(F.col("n"), F.col("lot") + step) - 1)))
         .withColumn("at", permuted(F.col("first") + F.col("r"), F.lit(every).cast("long"), F.lit(seed).cast("long")))
     )
@@ -120,7 +122,7 @@ def slots(goal: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = S
     numbered = counts.join(sized(per.select("rank", "blocks"), per), "rank").withColumn(
         "lot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1, F.lit(step).cast("long")))
     )
-    numbered = numbered.repartition("rank", "shard", "lot").withColumn(
+    numbered = numbered.repartition(parts, "rank", "shard", "lot").withColumn(
         "slot", F.explode(F.sequence(F.col("offset") + F.col("lot"), F.col("offset") + F.least(F.col("drawn"), F.col("lot") + step) - 1))
     )
     passed = F.floor(F.col("slot") / F.col("blocks")).cast("long")
