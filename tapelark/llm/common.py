@@ -96,16 +96,24 @@ def sized(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
     return F.broadcast(df) if plan_bytes(df if written is None else written) <= BROADCAST_BYTES else df
 
 
+def apart(df: DataFrame, label: str) -> DataFrame:
+    """An aggregation's result, written before it is joined on its own key.
+
+    Without that, the join takes the aggregation's partitions as they are and Spark cannot split a
+    skewed one; this way both sides come by an exchange of the join's, or the small one by a broadcast.
+    """
+    return sized(materialize(df, label))
+
+
 def later_occurrences(rows: DataFrame, key: str | list[str], place: list[str]) -> DataFrame:
     """Of rows with equal ``key``, those that are not at the first place (in the order of ``place``).
 
-    The first places come from a partial aggregation, so a key of any frequency costs a row per
-    task; the join back has nothing above it but an exchange, so that skewed partitions can be split.
+    The first places come from a partial aggregation, so a key of any frequency costs a row per task.
     """
     at = F.struct(*place)
     key = [key] if isinstance(key, str) else key
     firsts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first")).filter("_n > 1")
-    return rows.join(firsts, key).filter(at > F.col("_first")).drop("_n", "_first")
+    return rows.join(apart(firsts, "firsts"), key).filter(at > F.col("_first")).drop("_n", "_first")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -124,8 +132,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         before = after
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        centre = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.filter("v > u").join(apart(lowest, "lowest"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(large, "large")
+        centre = apart(large.groupBy("u").agg(F.min("v").alias("m")), "centre")
         small = (
             large.join(centre, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(centre.select("u", F.col("m").alias("v")))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelark.llm.common import SPACES, later_occurrences, materialize, once
+from tapelark.llm.common import SPACES, apart, later_occurrences, materialize, once
 
 RUN = 3
 
@@ -54,7 +54,7 @@ def repeated(lines: DataFrame, run: int = RUN) -> DataFrame:
     starts = F.sequence(F.col("low"), F.col("low") + F.size("around") - run)
     windows = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("around", s - F.col("low") + 1, run).alias("w")))
     own = F.filter(windows, lambda v: _minimum(v["s"], v["w"], run) == F.col("pos"))
-    near = found.join(shared, "key", "left_semi").select("doc_id", "mark", F.explode(own).alias("v")).select("doc_id", "mark", "v.s", "v.w")
+    near = found.join(apart(shared, "shared"), "key", "left_semi").select("doc_id", "mark", F.explode(own).alias("v")).select("doc_id", "mark", "v.s", "v.w")
     return later_occurrences(near, "w", ["doc_id", "mark", "s"]).select("doc_id", "mark", "s")
 
 
@@ -71,8 +71,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """``docs`` with repeated lines deleted from their texts; rows without repeats come back as they are."""
-    gone = removed(docs, id_col, text_col, run).filter(F.size("lines") > 0).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "lines")
-    lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.when(~F.array_contains("lines", i), x))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_m")), "left")
-    text = F.when(F.col("lines").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    return joined.withColumn(text_col, text).select(docs.columns)
+    gone = removed(docs, id_col, text_col, run).filter(F.size("lines") > 0)
+    left, right = docs.alias("l"), gone.alias("r")
+    old = F.col(f"l.{text_col}")
+    joined = left.join(right, F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64(old) == F.col("r.mark")), "left")
+    kept = F.filter(F.transform(F.split(old, "\n", -1), lambda x, i: F.when(~F.array_contains("r.lines", i), x)), lambda x: x.isNotNull())
+    new = F.when(F.col("r.lines").isNull(), old).otherwise(F.array_join(kept, "\n")).alias(text_col)
+    return joined.select(*[new if c == text_col else F.col(f"l.{c}") for c in docs.columns])

@@ -105,7 +105,7 @@ def slots(goal: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = S
     order = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("rank", "blocks", "n", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"))
     per = materialize(per, "slots")
-    every = per.agg(F.sum("n")).first()[0] or 0
+    every = max(1, per.agg(F.sum("n")).first()[0] or 0)
     step = 4096
     # A number of its own: by size alone, the short rows below would be put in one partition before they unfold.
     parts = max(2 * goal.sparkSession.sparkContext.defaultParallelism, every // 100_000)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapelark.llm.common import connected_components, materialize
+from tapelark.llm.common import apart, connected_components, materialize
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
 #: Positional bytes that two fingerprints at most MAX_BITS apart share at least.
@@ -93,7 +93,7 @@ def links(marks: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
         "fp",
         F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("quad", "bytes"),
     )
-    lists = posted.groupBy("quad", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    lists = apart(posted.groupBy("quad", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
     short = posted.join(lists.filter(F.col("n") <= short_list).drop("n"), ["quad", "bytes"])
     listed = short.groupBy("quad", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("l"))
     pairs = listed.select(
@@ -122,7 +122,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "component", F.coalesce("component", "fp")
     )
     lows = rooted.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lows, "component").select("fp", "component_id")
+    named = rooted.join(apart(lows, "lows"), "component").select("fp", "component_id")
     return marked.join(named, "fp").select(id_col, "fp", "component_id")
 
 

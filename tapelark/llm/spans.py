@@ -98,8 +98,8 @@ def without(text: str, numbers: list[int]) -> str:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated spans removed from their texts; rows without repeats come back as they are."""
     gone = removed(docs, id_col, text_col).filter(F.size("sentences") > 0)
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), F.col("sentences").alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_m")), "left").drop("_d", "_m")
+    on = F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64(F.col(f"l.{text_col}")) == F.col("r.mark"))
+    joined = docs.alias("l").join(gone.alias("r"), on, "left").select("l.*", F.col("r.sentences").alias("_sentences"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

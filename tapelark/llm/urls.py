@@ -119,12 +119,13 @@ def reputation(outcomes: DataFrame, all_hosts: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``pages`` with host, path, rule, share, verdict. ``outcomes`` has (url, bad) for labelled pages."""
+    """``pages`` with host, path, rule, share, verdict, in place of columns of those names; ``outcomes`` has (url, bad) for labelled pages."""
     host, path = split_url(F.col(url_col))
-    held = pages.withColumn("host", host).withColumn("path", path)
+    held = pages.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
     labelled = outcomes.select(split_url(F.col("url"))[0].alias("host"), "bad")
     known = materialize(reputation(labelled, held.select("host").distinct()).withColumnRenamed("host", "_host"), "reputation")
-    out = held.join(sized(known), F.col("host") == F.col("_host"), "left").drop("_host", "n")
+    out = held.join(sized(known), F.col("host") == F.col("_host"), "left")
     fit = fitting_rule(F.col("host"), F.col("path"), rules)
     by_share = F.when(F.col("low") > MAX_BAD, "block").otherwise("allow")
-    return out.withColumn("rule", fit["rule"]).withColumn("verdict", F.coalesce(fit["verdict"], by_share)).drop("low")
+    made = {"host": F.col("host"), "path": F.col("path"), "rule": fit["rule"], "share": F.col("share"), "verdict": F.coalesce(fit["verdict"], by_share)}
+    return out.select(*[F.col("row")[c].alias(c) for c in pages.columns if c not in made], *[c.alias(k) for k, c in made.items()])
