@@ -37,7 +37,9 @@ from tapelark.llm.common import materialize, scratch, sized
 END_ID, PACK_BYTES = 0, 4 << 20
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1024, 8 << 10, 64 << 10, 3
 #: Units whose ids a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
+#: Units that are looked up in the library at a time; its answers are large while they last.
+LEARNED = 20_000
 _other_space = re.compile(r"[^\S \n]").search
 #: Where a cut would go through white space that the pre-tokenizer keeps together.
 _UNEVEN = ("  ", " \n", "\n ", "\n\n\n", "\0")
@@ -78,15 +80,17 @@ class Encoder:
 
     def _learn(self) -> None:
         """Ids of units seen since the last time, from the library."""
-        known = len(self.ends) - 1
+        known, flat, ends, total = len(self.ends) - 1, [self.flat], [self.ends], len(self.flat)
         new = list(islice(self.codes, known, None))
-        if not new:
-            return
-        texts = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else " " + u for u in new]
-        got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        ends = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(1, len(new) + 1))
-        self.ends = np.concatenate([self.ends, ends + len(self.flat)])
-        self.flat = np.concatenate([self.flat, np.array(got.ids, self.flat.dtype)])
+        for at in range(0, len(new), LEARNED):
+            part = new[at : at + LEARNED]
+            texts = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else " " + u for u in part]
+            got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+            ends.append(np.searchsorted(np.array(got.word_ids, np.int64), np.arange(1, len(part) + 1)) + total)
+            flat.append(np.array(got.ids, self.flat.dtype))
+            total += len(flat[-1])
+        if new:
+            self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
 
     def _units(self, text: str) -> list[str] | None:
         """The units of a text, the first marked as such; null if it has to go to the library whole."""
@@ -121,7 +125,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _in_parts(texts: list, size: int = 1000, chars: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def _in_parts(texts: list, size: int = 1000, chars: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of a bounded number and length."""
     start = total = 0
     for k, t in enumerate(texts):
