@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tapelark.llm.fm_index import FMIndex
 
-WINDOW, SHARD_WORDS, BLOCK_BYTES = 13, 4_000_000, 16 << 20
+WINDOW, SHARD_WORDS, BLOCK_BYTES = 13, 1_500_000, 16 << 20
 #: A document is contaminated if one word in so many is hit.
 SHARE = 20
 #: Words are runs of letters and digits of ASCII and of anything beyond ASCII; A-Z is lowered.
