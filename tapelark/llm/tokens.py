@@ -20,7 +20,7 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, islice
 
@@ -137,7 +137,7 @@ def _in_parts(texts: list, size: int = 1000, chars: int = 2 << 20) -> Iterator[t
         yield start, len(texts)
 
 
-def train_dictionary(docs: DataFrame, path: Callable[[], str] | str, id_col: str, text_col: str) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) -> bytes:
     """A dictionary for id arrays from a bounded sample; empty where the sample is too small to train on."""
     order = F.xxhash64(id_col, text_col)
     low = docs.select(F.xxhash64(id_col, text_col).alias("h")).orderBy("h").limit(SAMPLE_DOCS)
