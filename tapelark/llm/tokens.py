@@ -7,8 +7,8 @@ index, an entry per document in ascending doc_id order, so that one document is
 A frame holds a document's ids as little-endian unsigned 16-bit integers, or 32-bit where the
 vocabulary needs them (``width``). Packs end at ``PACK_BYTES`` of payload.
 
-The dictionary is trained on the ids of ``SAMPLE_DOCS`` documents, those of the lowest hash of id and
-text, cut at ``SAMPLE_BYTES`` each: a documented, bounded sample that only sets how small frames get.
+The dictionary is trained on the ids of ``SAMPLE_DOCS`` documents, those of the lowest hash of their id
+(of equal ids, those of the lowest hash of text), cut at ``SAMPLE_BYTES`` each: a documented, bounded sample that only sets how small frames get.
 
 Defined cases: a null text counts as empty and has the end id alone; documents of equal id follow each
 other by a hash of their text; a null id comes first; an empty table gives no packs.
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,11 +35,12 @@ from tapelark.llm.common import materialize, scratch, sized
 
 END_ID, PACK_BYTES = 0, 4 << 20
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1024, 8 << 10, 64 << 10, 3
-#: Units whose ids a worker remembers before it starts anew.
+#: Units whose ids a worker remembers before it keeps the half that it met most often and forgets the others.
 REMEMBERED = 400_000
 #: Units that are looked up in the library at a time; its answers are large while they last.
 LEARNED = 20_000
-_other_space = re.compile(r"[^\S \n]").search
+#: The white space of Unicode besides space and line end.
+_OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where a cut would go through white space that the pre-tokenizer keeps together.
 _UNEVEN = ("  ", " \n", "\n ", "\n\n\n", "\0")
 
@@ -53,6 +53,11 @@ class _Codes(dict):
         return code
 
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of these starts and sizes, one run after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Encoder:
     """Whole-text ids by a byte-level BPE of the tokenizers library, with remembered units.
 
@@ -73,10 +78,16 @@ class Encoder:
             kind["normalizer"] is None and kind["model"]["type"] == "BPE" and before.get("type") == "ByteLevel"
             and before.get("use_regex") is True and before.get("add_prefix_space") is False
         )
-        self._forget()
+        self.codes, self.flat, self.ends, self.met = _Codes(), np.empty(0, f"<u{self.width}"), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        self.codes, self.flat, self.ends = _Codes(), np.empty(0, f"<u{self.width}"), np.zeros(1, np.int64)
+        """Keep half of REMEMBERED units at most, those met most often, under new numbers; their counts are halved."""
+        kept = np.sort(np.argpartition(-self.met, REMEMBERED // 2)[: REMEMBERED // 2])
+        kept = kept[self.met[kept] > 1]
+        units, sizes = list(self.codes), self.ends[kept + 1] - self.ends[kept]
+        self.codes = _Codes(zip(map(units.__getitem__, kept.tolist()), range(len(kept)), strict=True))
+        self.flat = self.flat[_places(self.ends[kept], sizes)]
+        self.ends, self.met = np.concatenate([[0], np.cumsum(sizes)]), self.met[kept] // 2
 
     def _learn(self) -> None:
         """Ids of units seen since the last time, from the library."""
@@ -96,7 +107,7 @@ class Encoder:
         """The units of a text, the first marked as such; null if it has to go to the library whole."""
         if not self.by_unit or any(x in text for x in _UNEVEN) or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n":
             return None
-        if _other_space(text) or any(x in text for x in self.added):
+        if any(x in text for x in _OTHER_SPACE) or any(x in text for x in self.added):
             return None
         units = text.replace("\n", " \n").split(" ")
         units[0] = "\0" + units[0]
@@ -110,9 +121,12 @@ class Encoder:
         counts = np.array([len(u) if u else 0 for u in cut], np.int64)
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(u for u in cut if u)), np.int64, counts.sum())
         self._learn()
+        met = np.bincount(codes, minlength=len(self.codes))
+        met[: len(self.met)] += self.met
+        self.met = met
         starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
         before = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])]
+        ids = self.flat[_places(starts, sizes)]
         bounds = before[np.concatenate([[0], np.cumsum(counts)])].tolist()
         return [
             ids[bounds[k] : bounds[k + 1]].tobytes() if u else np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, ids.dtype).tobytes()
@@ -139,9 +153,8 @@ def _in_parts(texts: list, size: int = 1000, chars: int = 2 << 20) -> Iterator[t
 
 def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) -> bytes:
     """A dictionary for id arrays from a bounded sample; empty where the sample is too small to train on."""
-    order = F.xxhash64(id_col, text_col)
-    low = docs.select(F.xxhash64(id_col, text_col).alias("h")).orderBy("h").limit(SAMPLE_DOCS)
-    edge = low.agg(F.max("h")).first()[0]
+    place = F.xxhash64(id_col).alias("h")
+    edge = docs.select(place).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
     if edge is None:
         return b""
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType())])
@@ -149,10 +162,11 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in batches:
-            texts = [(t or "")[:SAMPLE_BYTES] for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[:SAMPLE_BYTES] for x in encode(texts)], pa.binary())], names=["h", "ids"])
 
-    picked = docs.select(order.alias("h"), F.col(text_col)).filter(F.col("h") <= edge).limit(SAMPLE_DOCS).mapInArrow(run, schema)
+    cut = docs.select(place, F.xxhash64(text_col).alias("mark"), F.substring(text_col, 1, SAMPLE_BYTES).alias("text")).filter(F.col("h") <= edge)
+    picked = cut.orderBy("h", "mark").limit(SAMPLE_DOCS).select("h", "text").mapInArrow(run, schema)
     samples = [bytes(r.ids) for r in sorted(picked.collect(), key=lambda r: (r.h, bytes(r.ids))) if r.ids]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
