@@ -25,6 +25,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +37,9 @@ from tapelark.llm.common import materialize, scratch, sized
 END_ID, PACK_BYTES = 0, 4 << 20
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1024, 8 << 10, 64 << 10, 3
 #: Units whose ids a worker remembers before it keeps the half that it met most often and forgets the others.
-REMEMBERED = 400_000
+REMEMBERED = 690_000
 #: Units that are looked up in the library at a time; its answers are large while they last.
-LEARNED = 20_000
+LEARNED = 10_000
 #: The white space of Unicode besides space and line end.
 _OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Where a cut would go through white space that the pre-tokenizer keeps together.
@@ -139,16 +140,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _in_parts(texts: list, size: int = 1000, chars: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of a bounded number and length."""
-    start = total = 0
-    for k, t in enumerate(texts):
-        if k > start and (k - start >= size or total + len(t or "") > chars):
+def _in_parts(sizes: list[int], most: int = 1000, total: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of a bounded number and size."""
+    start = held = 0
+    for k, n in enumerate(sizes):
+        if k > start and (k - start >= most or held + n > total):
             yield start, k
-            start, total = k, 0
-        total += len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) -> bytes:
@@ -212,9 +213,8 @@ def write(docs: DataFrame, target: str, path: str, id_col: str = "doc_id", text_
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            lengths = texts.to_pylist()
-            for a, b in _in_parts(lengths):
-                for doc, raw in zip(names[a:b], encode(lengths[a:b]), strict=True):
+            for a, b in _in_parts(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                for doc, raw in zip(names[a:b], encode(texts[a:b].to_pylist()), strict=True):
                     frame = pack_to.compress(raw + end)
                     frames.append(frame)
                     size += len(frame)
