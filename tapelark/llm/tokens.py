@@ -37,7 +37,7 @@ from tapelark.llm.common import materialize, scratch, sized
 END_ID, PACK_BYTES = 0, 4 << 20
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1024, 8 << 10, 64 << 10, 3
 #: Units whose ids a worker remembers before it keeps the half that it met most often and forgets the others.
-REMEMBERED = 690_000
+REMEMBERED = 1_300_000
 #: Units that are looked up in the library at a time; its answers are large while they last.
 LEARNED = 10_000
 #: The white space of Unicode besides space and line end.
@@ -59,6 +59,11 @@ def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a``, or a longer copy with zeros after it, so that it has n places at least."""
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 class Encoder:
     """Whole-text ids by a byte-level BPE of the tokenizers library, with remembered units.
 
@@ -79,30 +84,31 @@ class Encoder:
             kind["normalizer"] is None and kind["model"]["type"] == "BPE" and before.get("type") == "ByteLevel"
             and before.get("use_regex") is True and before.get("add_prefix_space") is False
         )
-        self.codes, self.flat, self.ends, self.met = _Codes(), np.empty(0, f"<u{self.width}"), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        # Unit k has the ids flat[ends[k] : ends[k + 1]] and was met in met[k] calls; the arrays have room to grow.
+        self.codes, self.known, self.flat, self.ends, self.met = _Codes(), 0, np.zeros(0, f"<u{self.width}"), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
         """Keep half of REMEMBERED units at most, those met most often, under new numbers; their counts are halved."""
-        kept = np.sort(np.argpartition(-self.met, REMEMBERED // 2)[: REMEMBERED // 2])
+        kept = np.sort(np.argpartition(-self.met[: self.known], REMEMBERED // 2)[: REMEMBERED // 2])
         kept = kept[self.met[kept] > 1]
         units, sizes = list(self.codes), self.ends[kept + 1] - self.ends[kept]
         self.codes = _Codes(zip(map(units.__getitem__, kept.tolist()), range(len(kept)), strict=True))
         self.flat = self.flat[_places(self.ends[kept], sizes)]
-        self.ends, self.met = np.concatenate([[0], np.cumsum(sizes)]), self.met[kept] // 2
+        self.known, self.ends, self.met = len(kept), np.concatenate([[0], np.cumsum(sizes)]), self.met[kept] // 2
 
     def _learn(self) -> None:
         """Ids of units seen since the last time, from the library."""
-        known, flat, ends, total = len(self.ends) - 1, [self.flat], [self.ends], len(self.flat)
-        new = list(islice(self.codes, known, None))
+        new = list(islice(self.codes, self.known, None))
+        self.ends, self.met = _room(self.ends, len(self.codes) + 1), _room(self.met, len(self.codes))
         for at in range(0, len(new), LEARNED):
-            part = new[at : at + LEARNED]
+            part, total = new[at : at + LEARNED], self.ends[self.known]
             texts = [u[1:] if u[:1] == "\0" else u if u[:1] == "\n" else " " + u for u in part]
             got = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-            ends.append(np.searchsorted(np.array(got.word_ids, np.int64), np.arange(1, len(part) + 1)) + total)
-            flat.append(np.array(got.ids, self.flat.dtype))
-            total += len(flat[-1])
-        if new:
-            self.flat, self.ends = np.concatenate(flat), np.concatenate(ends)
+            ids = np.array(got.ids, self.flat.dtype)
+            self.flat = _room(self.flat, total + len(ids))
+            self.flat[total : total + len(ids)] = ids
+            self.ends[self.known + 1 : self.known + 1 + len(part)] = np.searchsorted(np.array(got.word_ids, np.int64), np.arange(1, len(part) + 1)) + total
+            self.known += len(part)
 
     def _units(self, text: str) -> list[str] | None:
         """The units of a text, the first marked as such; null if it has to go to the library whole."""
@@ -122,9 +128,7 @@ class Encoder:
         counts = np.array([len(u) if u else 0 for u in cut], np.int64)
         codes = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(u for u in cut if u)), np.int64, counts.sum())
         self._learn()
-        met = np.bincount(codes, minlength=len(self.codes))
-        met[: len(self.met)] += self.met
-        self.met = met
+        self.met[codes] += 1
         starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
         before = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[_places(starts, sizes)]

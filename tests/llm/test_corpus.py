@@ -241,6 +241,18 @@ def test_short_documents(spark, docs, rows, tmp_path):
     assert crcs[5] == zlib.crc32(np.array(one[5], "<u4").tobytes())
 
 
+def test_remembered_units(monkeypatch):
+    """Units are forgotten and met again, the library's answers asked for in several pieces; ids stay the library's."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    monkeypatch.setattr(tokens, "LEARNED", 7)
+    draw, encode = random.Random(3), tokens.Encoder(tokenizer_path())
+    for _ in range(40):
+        texts = [words(draw, draw.randrange(30), 300) for _ in range(4)] + [None, "", "a\nb", "two  spaces"]
+        for t, raw in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(raw, "<u2").tolist() == encode.tokenizer.encode(t or "", add_special_tokens=False).ids
+    assert len(encode.codes) < 50 + 4 * 30
+
+
 def test_encoder_is_the_library():
     draw, encode = random.Random(2), tokens.Encoder(tokenizer_path())
     parts = ["a", "The", " ", "  ", "\n", "\n\n", "\t", "é", "中", "\xa0", "12", ".", "!?", "'s", "don't", "<|endoftext|>", "\x1c", "\0", "🙂", "\r\n", "_"]
