@@ -83,13 +83,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coa
 
 
 def _op9() -> str:
-    names = list(quality.rules())
     fails = {
         "few_words": f"n_words < {quality.MIN_WORDS}",
         "repeats": f"100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words",
         "symbols": f"100 * n_symbols > {quality.SYMBOL_PERCENT} * word_chars",
         "dup_lines": f"100 * n_dup_lines > {quality.DUP_LINE_PERCENT} * n_lines",
     }
+    names = list(fails)
     lows = [_low(f"h.x_{x}", "h.n", f"m_{x}", f"f_{x}", quality.BOUND) for x in names]
     return rf"""WITH b AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORD})) AS l FROM documents),
