@@ -53,7 +53,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.removed(table(spark, sf_dir, "documents"))
+    found = spans.removed(table(spark, sf_dir, "documents"), grown=True)
     return found.select(
         "doc_id", "n_sentences", F.size("sentences").cast("long").alias("n_removed"),
         F.array_join(F.col("sentences").cast("array<string>"), ",").alias("removed_sentences"),
