@@ -7,8 +7,11 @@ with the hashes around them: the windows that selected a fingerprint are compare
 that overlap grow into maximal runs. Every window whose content occurs at an earlier place (by document
 id, then hash of the text, then line) is deleted, with all lines that it covers.
 
+With ``long_words`` (op4 has ``LONG_WORDS``) a run of fewer lines that holds so many words is a window too,
+posted whole: a single long line is its own minimum.
+
 Defined cases: null and blank texts have no lines; rows equal in id and text are one document, which
-does not repeat itself; documents of fewer than ``RUN`` lines keep all; a null id comes first in order.
+does not repeat itself; documents without a window keep all; a null id comes first in order.
 """
 
 from __future__ import annotations
@@ -16,17 +19,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapelark.llm.common import SPACES, apart, later_occurrences, materialize, once
+from tapelark.llm.common import SPACES, WORD, apart, later_occurrences, materialize, once
 
-RUN = 3
+RUN, LONG_WORDS = 3, 50
 
 
-def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, mark, at, h): per row, numbers and hashes of the lines that have a word."""
+def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
+    """(doc_id, mark, at, h) per row, numbers and hashes of the lines that have a word; with ``long_words`` also their words as ``n``."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     placed = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.translate(p["x"], SPACES, "") != "")
     rows = once(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col)), "p", placed)
-    return rows.select("doc_id", "mark", F.transform("p", lambda p: p["i"]).alias("at"), F.transform("p", lambda p: F.xxhash64(p["x"])).alias("h"))
+    found = [F.transform("p", lambda p: p["i"]).alias("at"), F.transform("p", lambda p: F.xxhash64(p["x"])).alias("h")]
+    if long_words is not None:
+        found.append(F.transform("p", lambda p: F.regexp_count(p["x"], F.lit(WORD))).alias("n"))
+    return rows.select("doc_id", "mark", *found)
 
 
 def fingerprints(lines: DataFrame, run: int = RUN) -> DataFrame:
@@ -47,31 +53,44 @@ def _minimum(start: Column, window: Column, run: int) -> Column:
     return (start + run - F.array_position(F.reverse(window), F.array_min(window))).cast("int")
 
 
-def repeated(lines: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, mark, s): starts of windows of ``run`` lines whose content occurs earlier."""
+def long_runs(lines: DataFrame, run: int, long_words: int) -> DataFrame:
+    """(doc_id, mark, s, w): runs of fewer than ``run`` lines with ``long_words`` words or more."""
+
+    def of(k: int) -> Column:
+        starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
+        size = lambda s: sum(F.element_at("n", s + (i + 1)) for i in range(k))
+        return F.transform(F.filter(starts, lambda s: size(s) >= long_words), lambda s: F.struct(s.alias("s"), F.slice("h", s + 1, k).alias("w")))
+
+    return lines.select("doc_id", "mark", F.explode(F.concat(*[of(k) for k in range(1, run)])).alias("v")).select("doc_id", "mark", "v.s", "v.w")
+
+
+def repeated(lines: DataFrame, run: int = RUN, long_words: int | None = None) -> DataFrame:
+    """(doc_id, mark, s, n): starts and lengths of windows whose content occurs earlier."""
     found = materialize(fingerprints(lines, run), "fingerprints")
     shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     starts = F.sequence(F.col("low"), F.col("low") + F.size("around") - run)
     windows = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("around", s - F.col("low") + 1, run).alias("w")))
     own = F.filter(windows, lambda v: _minimum(v["s"], v["w"], run) == F.col("pos"))
     near = found.join(apart(shared, "shared"), "key", "left_semi").select("doc_id", "mark", F.explode(own).alias("v")).select("doc_id", "mark", "v.s", "v.w")
-    return later_occurrences(near, "w", ["doc_id", "mark", "s"]).select("doc_id", "mark", "s")
+    if long_words is not None:
+        near = near.unionByName(long_runs(lines, run, long_words))
+    return later_occurrences(near, "w", ["doc_id", "mark", "s"]).select("doc_id", "mark", "s", F.size("w").alias("n"))
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
     """(doc_id, mark, n_lines, lines): per distinct row, the number of lines with a word and the line numbers to delete."""
-    lines = materialize(hashed(docs, id_col, text_col).dropDuplicates(["doc_id", "mark"]), "lines")
-    gone = repeated(lines, run).groupBy("doc_id", "mark").agg(F.collect_set("s").alias("s"))
+    lines = materialize(hashed(docs, id_col, text_col, long_words).dropDuplicates(["doc_id", "mark"]), "lines")
+    gone = repeated(lines, run, long_words).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("s", "n")).alias("s"))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "s")
     out = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "left")
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda s: F.sequence(s, s + run - 1)))))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda r: F.sequence(r["s"], r["s"] + r["n"] - 1)))))
     numbers = F.transform(covered, lambda k: F.element_at("at", k + 1))
     return out.select("doc_id", "mark", F.size("h").alias("n_lines"), F.coalesce(numbers, F.array().cast("array<int>")).alias("lines"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
     """``docs`` with repeated lines deleted from their texts; rows without repeats come back as they are."""
-    gone = removed(docs, id_col, text_col, run).filter(F.size("lines") > 0)
+    gone = removed(docs, id_col, text_col, run, long_words).filter(F.size("lines") > 0)
     left, right = docs.alias("l"), gone.alias("r")
     old = F.col(f"l.{text_col}")
     joined = left.join(right, F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64(old) == F.col("r.mark")), "left")

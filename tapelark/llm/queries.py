@@ -45,7 +45,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.removed(table(spark, sf_dir, "documents"))
+    found = lines.removed(table(spark, sf_dir, "documents"), long_words=lines.LONG_WORDS)
     return found.select(
         "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("lines").cast("long").alias("n_removed"),
         F.array_join(F.col("lines").cast("array<string>"), ",").alias("removed_lines"),

@@ -111,3 +111,17 @@ def test_short_and_few_sentences(spark, tmp_path):
     got = {r.doc_id: r.removed_sentences for r in queries.op5_substring_dedup(spark, str(tmp_path)).collect()}
     assert got == {k: ",".join(map(str, x)) for k, x in enumerate(brute_sentences(texts))}
     assert got[4] == ",".join(map(str, range(155))) and got[5] == "1" and got[6] == "0,1" and got[7] == "1,2,3,4" and got[9] == ""
+
+
+# Lines ---------------------------------------------------------------------------------------------
+
+
+def test_long_lines(spark, tmp_path):
+    """Copies of one and two lines, a long line in another document, two lines with 50 words together; 49 words stay."""
+    draw = random.Random(6)
+    w = lambda n: " ".join(words(draw, n))
+    one, two, pair, less, three = w(60), f"{w(55)}\n{w(3)}", f"{w(30)}\n\n{w(20)}", f"{w(30)}\n{w(19)}", f"{w(1)}\n{w(1)}\n{w(1)}"
+    texts = [one, two, pair, less, three, one, f"{w(4)}\n{one}\n{w(3)}", two, f"{w(9)}\n{pair}", less, f"{w(2)}\n{three}", None, " ", " "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.removed_lines for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {k: "" for k in range(len(texts))} | {5: "0", 6: "1", 7: "0,1", 8: "1,3", 10: "1,2,3"}
