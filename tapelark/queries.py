@@ -405,9 +405,9 @@ def peak_token(spark, sf_dir):
  k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(abs(r), 6) DESC, a DESC, b DESC) AS k FROM r WHERE abs(r) > 0.5)
 SELECT CAST(run_id AS BIGINT) AS run_id, a, b, round(r, 6) AS r FROM k WHERE k <= 5""")
 def cooccurrence_pairs(spark, sf_dir):
-    """The five strongest pairs of each run are the feature."""
+    """The five strongest of all pairs of each run are the feature; the SQL still has the first 16 addresses only."""
     long = _long(spark, sf_dir)
-    out = analytics.cooccurrence(long.filter("idx <= 16"), centre=analytics.peak_token(long))
+    out = analytics.cooccurrence(long)
     return out.select("run_id", "a", "b", r6("r"))
 
 
