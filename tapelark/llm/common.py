@@ -106,14 +106,16 @@ def apart(df: DataFrame, label: str) -> DataFrame:
 
 
 def later_occurrences(rows: DataFrame, key: str | list[str], place: list[str]) -> DataFrame:
-    """Of rows with equal ``key``, those that are not at the first place (in the order of ``place``).
+    """Of rows with equal ``key``, those that are not at the first place (in the order of ``place``), with that as ``first``.
 
-    The first places come from a partial aggregation, so a key of any frequency costs a row per task.
+    The first places come from a partial aggregation, so a key of any frequency costs a row per task. They
+    are written, so that both sides of the join come by an exchange of its own and a skewed one can be
+    split; there is no other plan for small inputs.
     """
     at = F.struct(*place)
     key = [key] if isinstance(key, str) else key
-    firsts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_first")).filter("_n > 1")
-    return rows.join(apart(firsts, "firsts"), key).filter(at > F.col("_first")).drop("_n", "_first")
+    firsts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("first")).filter("_n > 1").drop("_n")
+    return rows.join(materialize(firsts, "firsts"), key).filter(at > F.col("first"))
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

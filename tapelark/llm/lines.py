@@ -2,21 +2,22 @@
 
 Lines without a word are skipped. Every window of ``RUN`` lines selects its smallest line hash (the last
 of equal ones) as a fingerprint, so two equal runs of ``RUN`` lines or more select the same fingerprint
-at the same place. Places of fingerprints found more than once are joined by hash and extended both ways
-with the hashes around them: the windows that selected a fingerprint are compared whole, and equal ones
-that overlap grow into maximal runs. Every window whose content occurs at an earlier place (by document
-id, then hash of the text, then line) is deleted, with all lines that it covers.
+at the same place. Fewer lines that hold ``LONG_WORDS`` words are a window as well, posted whole: a single
+long line is its own minimum.
 
-With ``long_words`` (op4 has ``LONG_WORDS``) a run of fewer lines that holds so many words is a window too,
-posted whole: a single long line is its own minimum.
+Positions of fingerprints found more than once are joined, by what their windows hold, to the earliest
+position of the same (by document id, then hash of the text, then line). A joined position is extended both
+ways as long as the neighbouring lines of both documents agree: windows that overlap or touch on the same
+diagonal are one maximal run. The later run of each such pair is deleted.
 
 Defined cases: null and blank texts have no lines; rows equal in id and text are one document, which
-does not repeat itself; documents without a window keep all; a null id comes first in order.
+does not repeat itself; documents without a window keep all; a null id comes first in order; columns of
+any name come back.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelark.llm.common import SPACES, WORD, apart, later_occurrences, materialize, once
@@ -24,15 +25,14 @@ from tapelark.llm.common import SPACES, WORD, apart, later_occurrences, material
 RUN, LONG_WORDS = 3, 50
 
 
-def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int | None = None) -> DataFrame:
-    """(doc_id, mark, at, h) per row, numbers and hashes of the lines that have a word; with ``long_words`` also their words as ``n``."""
+def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, mark, at, h, n, c) per row: numbers, hashes and words of the lines that have a word, and a second hash of long ones."""
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
     placed = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: F.translate(p["x"], SPACES, "") != "")
     rows = once(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col)), "p", placed)
-    found = [F.transform("p", lambda p: p["i"]).alias("at"), F.transform("p", lambda p: F.xxhash64(p["x"])).alias("h")]
-    if long_words is not None:
-        found.append(F.transform("p", lambda p: F.regexp_count(p["x"], F.lit(WORD))).alias("n"))
-    return rows.select("doc_id", "mark", *found)
+    rows = once(rows, "n", F.transform("p", lambda p: F.regexp_count(p["x"], F.lit(WORD))))
+    check = F.transform("p", lambda p, i: F.when(F.get("n", i) >= LONG_WORDS, F.hash(p["x"])).otherwise(0))
+    return rows.select("doc_id", "mark", F.transform("p", lambda p: p["i"]).alias("at"), F.transform("p", lambda p: F.xxhash64(p["x"])).alias("h"), "n", check.alias("c"))
 
 
 def fingerprints(lines: DataFrame, run: int = RUN) -> DataFrame:
@@ -53,44 +53,57 @@ def _minimum(start: Column, window: Column, run: int) -> Column:
     return (start + run - F.array_position(F.reverse(window), F.array_min(window))).cast("int")
 
 
-def long_runs(lines: DataFrame, run: int, long_words: int) -> DataFrame:
-    """(doc_id, mark, s, w): runs of fewer than ``run`` lines with ``long_words`` words or more."""
+def long_windows(lines: DataFrame, run: int = RUN) -> DataFrame:
+    """(doc_id, mark, s, n, w): windows of fewer than ``run`` lines with LONG_WORDS words or more; a single line's has its second hash."""
 
     def of(k: int) -> Column:
         starts = F.when(F.size("h") >= k, F.sequence(F.lit(0), F.size("h") - k)).otherwise(F.array().cast("array<int>"))
-        size = lambda s: sum(F.element_at("n", s + (i + 1)) for i in range(k))
-        return F.transform(F.filter(starts, lambda s: size(s) >= long_words), lambda s: F.struct(s.alias("s"), F.slice("h", s + 1, k).alias("w")))
+        size = lambda s: sum(F.get("n", s + i) for i in range(k))
+        held = lambda s: F.slice("h", s + 1, k)
+        whole = (lambda s: F.array_append(held(s), F.get("c", s).cast("long"))) if k == 1 else held
+        return F.transform(F.filter(starts, lambda s: size(s) >= LONG_WORDS), lambda s: F.struct(s.alias("s"), F.lit(k).alias("n"), whole(s).alias("w")))
 
-    return lines.select("doc_id", "mark", F.explode(F.concat(*[of(k) for k in range(1, run)])).alias("v")).select("doc_id", "mark", "v.s", "v.w")
+    return lines.select("doc_id", "mark", F.explode(F.concat(*[of(k) for k in range(1, run)])).alias("v")).select("doc_id", "mark", "v.s", "v.n", "v.w")
 
 
-def repeated(lines: DataFrame, run: int = RUN, long_words: int | None = None) -> DataFrame:
-    """(doc_id, mark, s, n): starts and lengths of windows whose content occurs earlier."""
+def matches(lines: DataFrame, run: int = RUN) -> DataFrame:
+    """(doc_id, mark, s, n, first): windows whose content occurs earlier, joined to the earliest place (doc_id, mark, s) of it."""
     found = materialize(fingerprints(lines, run), "fingerprints")
     shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     starts = F.sequence(F.col("low"), F.col("low") + F.size("around") - run)
     windows = F.transform(starts, lambda s: F.struct(s.alias("s"), F.slice("around", s - F.col("low") + 1, run).alias("w")))
     own = F.filter(windows, lambda v: _minimum(v["s"], v["w"], run) == F.col("pos"))
-    near = found.join(apart(shared, "shared"), "key", "left_semi").select("doc_id", "mark", F.explode(own).alias("v")).select("doc_id", "mark", "v.s", "v.w")
-    if long_words is not None:
-        near = near.unionByName(long_runs(lines, run, long_words))
-    return later_occurrences(near, "w", ["doc_id", "mark", "s"]).select("doc_id", "mark", "s", F.size("w").alias("n"))
+    near = found.join(apart(shared, "shared"), "key", "left_semi").select("doc_id", "mark", F.explode(own).alias("v"))
+    near = near.select("doc_id", "mark", "v.s", F.lit(run).alias("n"), "v.w").unionByName(long_windows(lines, run))
+    return later_occurrences(near, ["n", "w"], ["doc_id", "mark", "s"]).drop("w")
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
+def runs(found: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, end, first_doc, first_mark, first_start): ``matches`` extended both ways to maximal runs [start, end)."""
+    line = found.select("doc_id", "mark", "s", (F.col("s") + F.col("n")).alias("e"), F.col("first.doc_id").alias("first_doc"), F.col("first.mark").alias("first_mark"), (F.col("s") - F.col("first.s")).alias("diagonal"))
+    pair = ["doc_id", "mark", "first_doc", "first_mark", "diagonal"]
+    along = Window.partitionBy(*pair).orderBy("s", "e")
+    reached = F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    cut = line.withColumn("fresh", F.coalesce((F.col("s") > reached).cast("int"), F.lit(1)))
+    cut = cut.withColumn("part", F.sum("fresh").over(along))
+    whole = cut.groupBy(*pair, "part").agg(F.min("s").alias("start"), F.max("e").alias("end"))
+    return whole.select("doc_id", "mark", "start", "end", "first_doc", "first_mark", (F.col("start") - F.col("diagonal")).alias("first_start"))
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """(doc_id, mark, n_lines, lines): per distinct row, the number of lines with a word and the line numbers to delete."""
-    lines = materialize(hashed(docs, id_col, text_col, long_words).dropDuplicates(["doc_id", "mark"]), "lines")
-    gone = repeated(lines, run, long_words).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("s", "n")).alias("s"))
-    gone = gone.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "s")
-    out = lines.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "left")
-    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("s", lambda r: F.sequence(r["s"], r["s"] + r["n"] - 1)))))
+    lines = materialize(hashed(docs, id_col, text_col).dropDuplicates(["doc_id", "mark"]), "lines")
+    gone = runs(matches(lines, run)).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("r"))
+    gone = gone.select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "r")
+    out = lines.select("doc_id", "mark", "at").join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")), "left")
+    covered = F.array_sort(F.array_distinct(F.flatten(F.transform("r", lambda r: F.sequence(r["start"], r["end"] - 1)))))
     numbers = F.transform(covered, lambda k: F.element_at("at", k + 1))
-    return out.select("doc_id", "mark", F.size("h").alias("n_lines"), F.coalesce(numbers, F.array().cast("array<int>")).alias("lines"))
+    return out.select("doc_id", "mark", F.size("at").alias("n_lines"), F.coalesce(numbers, F.array().cast("array<int>")).alias("lines"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, long_words: int | None = None) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """``docs`` with repeated lines deleted from their texts; rows without repeats come back as they are."""
-    gone = removed(docs, id_col, text_col, run, long_words).filter(F.size("lines") > 0)
+    gone = removed(docs, id_col, text_col, run).filter(F.size("lines") > 0)
     left, right = docs.alias("l"), gone.alias("r")
     old = F.col(f"l.{text_col}")
     joined = left.join(right, F.col(f"l.{id_col}").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64(old) == F.col("r.mark")), "left")

@@ -6,7 +6,7 @@ passages of floating-point vectors; they are tested against plain versions.
 
 from __future__ import annotations
 
-from tapelark.llm import priors, quality, urls
+from tapelark.llm import lines, priors, quality, spans, urls
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _SPACE = r"'[\x20\x09-\x0D]'"
@@ -55,17 +55,23 @@ def _op1() -> str:
 SELECT page_id, host, path, split_part(fit, ':', 1) AS rule, coalesce(split_part(fit, ':', 2), own) AS verdict FROM x"""
 
 
-_LINES = rf"""b AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {{'i': i - 1, 'x': x}}), lambda p: regexp_matches(p.x, {_WORD})) AS l FROM documents),
- w AS (SELECT doc_id, s, list_slice(list_transform(l, lambda p: p.x), s, s + 2) AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS s FROM b WHERE len(l) >= 3)),
- r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS c FROM w) WHERE c > 1),
- v AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS j FROM r),
+_LINES = rf"""b AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {{'i': i - 1, 'x': x, 'm': len(regexp_extract_all(x, {_WORD}))}}), lambda p: p.m > 0) AS l FROM documents),
+ w AS (SELECT doc_id, s, s + o - 1 AS e, list_slice(list_transform(l, lambda p: p.x), s, s + o - 1) AS k FROM (SELECT doc_id, l, o, unnest(range(1, len(l) - o + 2)) AS s FROM b JOIN (SELECT unnest(range(1, {lines.RUN + 1})) AS o) ON len(l) >= o)
+  WHERE o = {lines.RUN} OR list_sum(list_transform(list_slice(l, s, s + o - 1), lambda p: p.m)) >= {lines.LONG_WORDS}),
+ r AS (SELECT doc_id, s, e FROM (SELECT doc_id, s, e, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS c FROM w) WHERE c > 1),
+ v AS (SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS j FROM r),
  n AS (SELECT doc_id, count(*) AS n, string_agg(CAST(l[j].i AS VARCHAR), ',' ORDER BY j) AS t FROM v JOIN b USING (doc_id) GROUP BY 1)"""
 
 _SENTENCES = rf"""b AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10), chr(1)),
   '([.!?]+)([ \t\r\x0b\x0c])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda p: regexp_extract_all(p, {_WORD})), lambda w: len(w) > 0) AS l FROM documents),
- w AS (SELECT doc_id, s, list_slice(l, s, s + 2) AS k FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS s FROM b WHERE len(l) >= 3)),
- r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS c FROM w WHERE len(flatten(k)) >= 12) WHERE c > 1),
- v AS (SELECT DISTINCT doc_id, unnest(range(s, s + 3)) AS j FROM r),
+ u AS (SELECT doc_id, unnest(range(1, len(l) + 2)) AS j, unnest(list_append(list_transform(l, lambda w: len(w)), 0)) AS m, len(l) AS z FROM b),
+ q AS (SELECT doc_id, j, m, z, coalesce(sum(m) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM u),
+ f AS (SELECT *, min(j) OVER (PARTITION BY doc_id ORDER BY c RANGE BETWEEN {spans.MIN_WORDS} FOLLOWING AND UNBOUNDED FOLLOWING) AS on_, max(j) OVER (PARTITION BY doc_id ORDER BY c RANGE BETWEEN UNBOUNDED PRECEDING AND {spans.MIN_WORDS} PRECEDING) AS back FROM q),
+ g AS (SELECT DISTINCT doc_id, s, e FROM (SELECT doc_id, z, j AS s, greatest(j + {spans.SPAN}, on_) AS e FROM f WHERE on_ IS NOT NULL UNION ALL SELECT doc_id, z, least(j - {spans.SPAN}, back), j FROM f WHERE back IS NOT NULL UNION ALL SELECT doc_id, z, j, j + 1 FROM f WHERE m >= {spans.LONG_WORDS})
+  WHERE s >= 1 AND e <= z + 1),
+ w AS (SELECT doc_id, s, e, list_slice(l, s, e - 1) AS k FROM g JOIN b USING (doc_id)),
+ r AS (SELECT doc_id, s, e FROM (SELECT doc_id, s, e, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS c FROM w) WHERE c > 1),
+ v AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS j FROM r),
  n AS (SELECT doc_id, count(*) AS n, string_agg(CAST(j - 1 AS VARCHAR), ',' ORDER BY j) AS t FROM v GROUP BY 1)"""
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

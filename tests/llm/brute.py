@@ -111,34 +111,49 @@ def tokens(docs, path):
     return out
 
 
-def repeated_lines(docs, run=3):
-    """{doc_id: line numbers to delete}: lines of windows whose content came before."""
+def repeated_lines(docs, run=3, long=50):
+    """{doc_id: (lines, line numbers to delete)}: lines of windows whose content came before, three lines or fewer with 50 words."""
     seen, out = set(), {}
     for doc, text in sorted(docs, key=lambda r: r[0]):
         lines = [(i, x) for i, x in enumerate((text or "").split("\n")) if WORD.search(x)]
         gone = set()
-        for s in range(len(lines) - run + 1):
-            w = tuple(x for _, x in lines[s : s + run])
-            if w in seen:
-                gone.update(i for i, _ in lines[s : s + run])
-            seen.add(w)
+        for s in range(len(lines)):
+            for e in range(s + 1, min(len(lines), s + run) + 1):
+                w = tuple(x for _, x in lines[s:e])
+                if e - s == run or sum(len(WORD.findall(x)) for x in w) >= long:
+                    if w in seen:
+                        gone.update(i for i, _ in lines[s:e])
+                    seen.add(w)
         out[doc] = (len(lines), sorted(gone))
     return out
 
 
-def repeated_sentences(docs, span=3, least=12):
-    """{doc_id: (sentences, numbers to remove)}."""
+def repeated_sentences(docs, span=2, least=30, long=50):
+    """{doc_id: (sentences, numbers to remove)}: sentences in a repeated span.
+
+    A span has two sentences and 30 words, and would not if it lost its first or if it lost its last; or is one of 50 words.
+    """
     seen, out = set(), {}
     for doc, text in sorted(docs, key=lambda r: r[0]):
         parts = [p for line in (text or "").split("\n") for p in re.split(r"(?<=[.!?])(?=[ \t\r\x0b\x0c])", line)]
         parts = [WORD.findall(az(p)) for p in parts]
         parts = [p for p in parts if p]
+        before = [0]
+        for p in parts:
+            before.append(before[-1] + len(p))
+
+        def fits(s, e):
+            return e - s >= span and before[e] - before[s] >= least
+
         gone = set()
-        for s in range(len(parts) - span + 1):
-            w = tuple(map(tuple, parts[s : s + span]))
-            if sum(map(len, w)) >= least:
-                if w in seen:
-                    gone.update(range(s, s + span))
-                seen.add(w)
+        for s in range(len(parts)):
+            for e in range(s + 1, len(parts) + 1):
+                if fits(s, e) and (not fits(s, e - 1) or not fits(s + 1, e)) or e - s == 1 and len(parts[s]) >= long:
+                    w = tuple(map(tuple, parts[s:e]))
+                    if w in seen:
+                        gone.update(range(s, e))
+                    seen.add(w)
+                if fits(s + 1, e):
+                    break  # longer ones can lose an end
         out[doc] = (len(parts), sorted(gone))
     return out

@@ -218,6 +218,15 @@ def test_sentence_spans(docs, rows, none):
     assert spans.dedup(docs).columns == docs.columns and spans.removed(none).count() == 0
 
 
+def test_runs_are_maximal(spark):
+    """A run is extended both ways from its joined positions, and cut where the earlier text goes on otherwise."""
+    a, b = [f"line {k} of the first" for k in range(12)], [f"line {k} of the second" for k in range(3)]
+    texts = [a, [*b, *a[2:9], *b], [a[0], "new", *a[5:9], *a[1:4]]]
+    lined = lines.hashed(spark.createDataFrame([(k, "\n".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"))
+    got = {(r.doc_id, r.start, r.end, r.first_doc, r.first_start) for r in lines.runs(lines.matches(lined)).collect()}
+    assert got == {(1, 3, 10, 0, 2), (1, 10, 13, 1, 0), (2, 2, 6, 0, 5), (2, 6, 9, 0, 1)}
+
+
 # Tokens --------------------------------------------------------------------------------------------
 
 

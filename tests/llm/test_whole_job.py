@@ -5,7 +5,7 @@ import random
 import brute
 import pytest
 
-from tapelark.llm import near, queries, spans
+from tapelark.llm import near, queries
 
 
 def words(draw, n, top=3000):
@@ -82,24 +82,6 @@ def test_stage_keeps_rows_not_ids(spark):
 # Sentences -----------------------------------------------------------------------------------------
 
 
-def brute_sentences(texts):
-    """Sentences in a repeated run: three or more with 12 words that cannot lose one at an end, or one or two with 50."""
-    seen, out = set(), []
-    for text in texts:
-        parts = [brute.WORD.findall(brute.az(text[a:b])) for a, b in spans.sentences(text)]
-        size, gone = lambda s, e: sum(map(len, parts[s:e])), set()
-        for s in range(len(parts)):
-            for e in range(s + 1, len(parts) + 1):
-                fits = lambda s, e: e - s >= 3 and size(s, e) >= 12
-                if fits(s, e) and (not fits(s, e - 1) or not fits(s + 1, e)) or e - s < 3 and size(s, e) >= 50:
-                    run = tuple(map(tuple, parts[s:e]))
-                    if run in seen:
-                        gone.update(range(s, e))
-                    seen.add(run)
-        out.append(sorted(gone))
-    return out
-
-
 def test_short_and_few_sentences(spark, tmp_path):
     """Copies made of one-word sentences, of one and two long sentences, and a passage with a short end."""
     draw = random.Random(4)
@@ -109,7 +91,7 @@ def test_short_and_few_sentences(spark, tmp_path):
     texts += ["\n".join(" ".join(words(draw, draw.choice([1, 2, 5, 30]), 4)) for _ in range(draw.randrange(25))) for _ in range(20)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.removed_sentences for r in queries.op5_substring_dedup(spark, str(tmp_path)).collect()}
-    assert got == {k: ",".join(map(str, x)) for k, x in enumerate(brute_sentences(texts))}
+    assert got == {k: ",".join(map(str, x)) for k, (_, x) in brute.repeated_sentences(list(enumerate(texts))).items()}
     assert got[4] == ",".join(map(str, range(155))) and got[5] == "1" and got[6] == "0,1" and got[7] == "1,2,3,4" and got[9] == ""
 
 
