@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import itertools
+import re
 import shutil
 import tempfile
 import uuid
@@ -44,9 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of our own where it names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it names none, one of our own: only on a local master, as executors of a cluster would each write to their own disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tapelark-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -122,8 +128,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node of ``links``; component is the smallest node reachable.
 
     Alternates large-star and small-star steps. Each round is written to the shared folder, so that
-    lineage stays short and a lost executor costs one round at most. The loop ends when a round
-    changes nothing, compared by count and an order-free hash; only those two numbers reach the driver.
+    lineage stays short and a lost executor costs one round at most; what a round has read is deleted. The
+    loop ends when a round changes nothing, compared by count and an order-free hash; only those two
+    numbers reach the driver.
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     edges, before = materialize(pairs, "edges"), None
@@ -133,17 +140,18 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         before = after
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(apart(lowest, "lowest"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
+        large = both.filter("v > u").join(sized(lowest), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        centre = apart(large.groupBy("u").agg(F.min("v").alias("m")), "centre")
+        centre = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "centre")
         small = (
-            large.join(centre, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large.join(sized(centre), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(centre.select("u", F.col("m").alias("v")))
             .distinct()
         )
         new = materialize(small, "edges")
-        drop(edges)
+        for read in (edges, lowest, large, centre):
+            drop(read)
         edges = new
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -11,16 +11,19 @@ Permutations are swap-or-not networks: round k pairs x with (key_k - x) mod n an
 hash bit of its larger member, which is a bijection for every n and needs no state and no sort.
 
 Defined cases: null and blank texts have size 0 and nothing is taken; a null source is a source, last
-in order; an empty table or one without words gives no slots; equal rows are mixed like others.
+in order; an empty table or one without words gives no slots; rows equal in all columns are rows of their
+own, each with its own blocks; one id or text in two sources is two documents; columns of any name come back.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapelark.llm.common import WORD, materialize, once, sized, words
+from tapelark.llm.common import SPACES, WORD, materialize, once, sized, words
 
+SPACE = r"\x20\x09-\x0D"
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 BLOCK, SHARD, SEED = 64, 65536, 42
@@ -39,14 +42,25 @@ def permuted(x: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), x.cast("long"), one)
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> dict[str, Column]:
+    """What tells rows apart: id, source, size and a hash of all columns but maps. Rows that agree in it can stand for each other."""
+    return {
+        "doc_id": F.col(id_col),
+        "source": F.col(source_col).cast("string"),
+        "size": F.size(words(F.col(text_col))).cast("long"),
+        "mark": F.xxhash64(*[F.col(f.name) for f in docs.schema if _hashable(f.dataType)]),
+    }
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, mark) per row; mark tells rows of one id and size apart."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.size(words(F.col(text_col))).cast("long").alias("size"),
-        F.xxhash64(text_col).alias("mark"),
-    )
+    """(doc_id, source, size, mark) per row."""
+    return docs.select(*[c.alias(k) for k, c in row_key(docs, id_col, text_col, source_col).items()])
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES) -> DataFrame:
@@ -163,48 +177,64 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(sized(goal.select("rank", "source", "source_size", "target"), goal), "rank").drop("rank")
 
 
+def held_parts(held: DataFrame) -> DataFrame:
+    """(doc_id, source, size, mark, cut): for each row and pass k that holds something of it, its word ranges (w0, w1) that slots hold k times or more.
+
+    Ranges are gathered by row (a source and a start), so a list is no longer than its own document.
+    """
+    per = held.groupBy("rank", "start").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "source", "size", "mark")], F.array_sort(F.collect_list(F.struct("w0", "w1", "times"))).alias("parts")
+    )
+    passes = F.transform(
+        F.sequence(F.lit(1).cast("long"), F.lit(MAX_PASSES).cast("long")),
+        lambda k: F.transform(F.filter("parts", lambda p: p["times"] >= k), lambda p: F.struct(p["w0"].alias("w0"), p["w1"].alias("w1"))),
+    )
+    each = per.select("doc_id", "source", "size", "mark", F.explode(passes).alias("cut"))
+    return each.filter(F.size("cut") > 0)
+
+
+def cut_text(tokens: str, cut: str) -> Column:
+    """Text of the word ranges ``cut``; ``tokens`` are the words, each with the white space behind it.
+
+    Neighbouring ranges go on as in the text, others are apart by a line end.
+    """
+
+    def one(p: Column, i: Column) -> Column:
+        part = F.array_join(F.slice(F.col(tokens), (p["w0"] + 1).cast("int"), (p["w1"] - p["w0"]).cast("int")), "")
+        after = F.get(F.col(cut), i + 1)["w0"]
+        bare = F.rtrim(part, F.lit(SPACES))
+        return F.when(after == p["w1"], part).when(after.isNotNull(), F.concat(bare, F.lit("\n"))).otherwise(bare)
+
+    return F.array_join(F.transform(F.col(cut), one), "")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
     """The mixed corpus with the columns of ``docs``: for each pass k, what slots hold of a document k times or more.
 
-    A document held whole keeps its text as it is; else its text is the held words, blocks apart by a
-    line end. ``chars_col``, if there, is the new text's length. Equal rows are mixed together.
+    A document held whole keeps its text as it is; else its text is the held words with what stands between
+    them. ``chars_col``, if there, is the new text's length. By source, its words are those of ``mix_report``.
     """
     own = docs.columns
     sizes = materialize(measured(docs, id_col, text_col, source_col), "sizes")
     goal = materialize(targets(sizes), "targets")
-    held = mixed(sizes, goal).filter("times > 0")
-    key = ["doc_id", "size", "mark"]
-    parts = held.groupBy(*key).agg(F.collect_list(F.struct("start", "w0", "w1", "times")).alias("parts"))
-    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in key], "parts")
-    rows = docs.withColumn("_size", F.size(words(F.col(text_col))).cast("long")).withColumn("_mark", F.xxhash64(text_col)).filter("_size > 0")
-    same = rows.groupBy(F.col(id_col).alias("_doc_id"), "_size", "_mark").agg(*[F.first(c).alias(f"_c_{k}") for k, c in enumerate(own)])
-    text = f"_c_{own.index(text_col)}"
-    matched = same.alias("l").join(
-        parts.alias("r"),
-        F.col("l._doc_id").eqNullSafe(F.col("r._doc_id")) & (F.col("l._size") == F.col("r._size")) & (F.col("l._mark") == F.col("r._mark")),
-    )
-    starts = F.array_distinct(F.transform("parts", lambda p: p["start"]))
-    lists = F.flatten(
-        F.transform(
-            starts,
-            lambda s: F.transform(
-                F.sequence(F.lit(1).cast("long"), F.lit(MAX_PASSES).cast("long")),
-                lambda k: F.array_sort(
-                    F.transform(
-                        F.filter("parts", lambda p: (p["start"] == s) & (p["times"] >= k)), lambda p: F.struct(p["w0"].alias("w0"), p["w1"].alias("w1"))
-                    )
-                ),
-            ),
-        )
-    )
-    copies = matched.select("l.*", F.explode(F.filter(lists, lambda x: F.size(x) > 0)).alias("cut"))
-    split = F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
-    held_words = F.aggregate("cut", F.lit(0).cast("long"), lambda n, p: n + p["w1"] - p["w0"])
-    copies = once(copies, "_w", F.when(held_words < F.col("_size"), split))
-    cut = F.array_join(F.transform("cut", lambda p: F.array_join(F.slice(F.col("_w"), (p["w0"] + 1).cast("int"), (p["w1"] - p["w0"]).cast("int")), " ")), "\n")
-    copies = once(copies, "_text", F.when(F.col("_w").isNull(), F.col(text)).otherwise(cut))
+    cuts = materialize(held_parts(mixed(sizes, goal).filter("times > 0")), "cuts")
+    key = ["doc_id", "source", "size", "mark"]
+    rows = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(own)], *[c.alias(k) for k, c in row_key(docs, id_col, text_col, source_col).items()]).filter("size > 0")
+    twice = materialize(sizes.filter("size > 0").groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice")
+    if not twice.isEmpty():
+        # One row stands for those that agree in all columns; as many lists of ranges are joined to it as there are rows.
+        same = twice.select(*[F.col(k).alias(f"_{k}") for k in key])
+        agree = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        one = rows.join(sized(same, twice), agree, "left_semi").groupBy(*key).agg(F.any_value(F.struct(*[f"c{k}" for k in range(len(own))])).alias("r"))
+        rows = rows.join(sized(same, twice), agree, "left_anti").unionByName(one.select("r.*", *key))
+    asked = cuts.select(*[F.col(k).alias(f"_{k}") for k in key], "cut")
+    copies = rows.join(asked, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    text = F.col(f"c{own.index(text_col)}")
+    count = F.aggregate("cut", F.lit(0).cast("long"), lambda n, p: n + p["w1"] - p["w0"])
+    copies = once(copies, "tokens", F.when(count < F.col("size"), F.regexp_extract_all(text, F.lit(f"{WORD}[{SPACE}]*"), F.lit(0))))
+    copies = once(copies, "new", F.when(F.col("tokens").isNull(), text).otherwise(cut_text("tokens", "cut")))
     out = []
     for k, c in enumerate(own):
         kind = docs.schema[c].dataType
-        out.append((F.col("_text") if c == text_col else F.length("_text").cast(kind) if c == chars_col else F.col(f"_c_{k}")).alias(c))
+        out.append((F.col("new") if c == text_col else F.length("new").cast(kind) if c == chars_col else F.col(f"c{k}")).alias(c))
     return copies.select(*out)

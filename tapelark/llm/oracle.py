@@ -31,7 +31,8 @@ def _low(bad: str, n: str, mean: str, m: str, z: float) -> str:
 def _op1() -> str:
     two = "array_to_string(list_slice(string_split(host, '.'), greatest(1, len(string_split(host, '.')) - 1), len(string_split(host, '.'))), '.')"
     three = "array_to_string(list_slice(string_split(host, '.'), greatest(1, len(string_split(host, '.')) - 2), len(string_split(host, '.'))), '.')"
-    long = ", ".join(f"'{s}'" for s in urls.LONG_SUFFIXES)
+    second = ", ".join(f"'{x}'" for x in urls.SECOND_LEVEL)
+    long = f"len(string_split(host, '.')) > 1 AND string_split(host, '.')[-2] IN ({second}) AND regexp_full_match(string_split(host, '.')[-1], '[a-z]{{2}}')"
     fits = "".join(
         f" WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.pattern}:{r.verdict}'"
         for r in sorted(urls.RULES, key=lambda r: -len(r.pattern))
@@ -39,7 +40,7 @@ def _op1() -> str:
     return rf"""WITH p AS (SELECT page_id, url,
   CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
   CASE WHEN contains(url, '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
- q AS (SELECT *, CASE WHEN {two} IN ({long}) THEN {three} ELSE {two} END AS domain, CASE WHEN {two} IN ({long}) THEN {two} ELSE string_split(host, '.')[-1] END AS suffix,
+ q AS (SELECT *, CASE WHEN {long} THEN {three} ELSE {two} END AS domain, CASE WHEN {long} THEN {two} ELSE string_split(host, '.')[-1] END AS suffix,
   try_cast(regexp_extract(url, '^[^#?]*?://[^/?#]*/(?:[^/?#]*/)?([0-9]+)', 1) AS BIGINT) AS doc_id FROM p),
  o AS (SELECT host, domain, suffix, CAST(quality IS NOT DISTINCT FROM 0 OR toxic IS NOT DISTINCT FROM 1 AS INTEGER) AS bad FROM q JOIN labels USING (doc_id) WHERE coalesce(quality, toxic) IS NOT NULL),
  h AS (SELECT host, domain, suffix, sum(bad) AS bad, count(*) AS n FROM o GROUP BY 1, 2, 3),
@@ -51,8 +52,8 @@ def _op1() -> str:
  fh AS (SELECT {_fit("bad", "n", "m")} AS f FROM h JOIN md USING (domain)),
  r AS (SELECT u.host, coalesce(h.bad, 0) AS bad, coalesce(h.n, 0) AS n, coalesce(md.m, ms.m, g.m) AS m, coalesce(fh.f, 1.0 / {priors.RHO_HIGH} - 1.0) AS f
   FROM (SELECT DISTINCT host, domain, suffix FROM q) u LEFT JOIN h USING (host) LEFT JOIN md ON md.domain = u.domain LEFT JOIN ms ON ms.suffix = u.suffix CROSS JOIN g CROSS JOIN fh),
- x AS (SELECT page_id, host, path, CASE{fits} END AS fit, CASE WHEN {_low("bad", "n", "m", "f", urls.BOUND)} > {urls.MAX_BAD} THEN 'block' ELSE 'allow' END AS own FROM q JOIN r USING (host))
-SELECT page_id, host, path, split_part(fit, ':', 1) AS rule, coalesce(split_part(fit, ':', 2), own) AS verdict FROM x"""
+ x AS (SELECT page_id, host, path, CASE{fits} END AS fit, (bad + f * m) / (n + f) AS share, {_low("bad", "n", "m", "f", urls.BOUND)} AS low FROM q JOIN r USING (host))
+SELECT page_id, host, path, split_part(fit, ':', 1) AS rule, coalesce(split_part(fit, ':', 2), CASE WHEN low > {urls.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict, round(share, 6) AS share, round(low, 6) AS low FROM x"""
 
 
 _LINES = rf"""b AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x, i: {{'i': i - 1, 'x': x, 'm': len(regexp_extract_all(x, {_WORD}))}}), lambda p: p.m > 0) AS l FROM documents),
@@ -76,14 +77,14 @@ _SENTENCES = rf"""b AS (SELECT doc_id, list_filter(list_transform(string_split(r
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-_OP7 = rf"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_FOLD}, {_ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+_OP7 = rf"""WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_FOLD}, {_ALNUM}) AS w FROM benchmark),
  p AS (SELECT DISTINCT item, list_slice(w, s, s + least(13, len(w)) - 1) AS k FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 11))) AS s FROM i WHERE len(w) > 0)),
  m AS (SELECT DISTINCT len(k) AS m FROM p),
  d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_FOLD}, {_ALNUM}) AS w FROM documents),
  x AS (SELECT rid, s, m, list_slice(w, s, s + m - 1) AS k FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d JOIN m ON len(w) >= m)),
  h AS (SELECT rid, s, m, item FROM x JOIN p USING (k)),
  c AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest(range(s, s + m)) AS j FROM (SELECT DISTINCT rid, s, m FROM h)) GROUP BY 1),
- t AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT rid, item FROM h) GROUP BY 1)
+ t AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT rid, item FROM h WHERE item IS NOT NULL) GROUP BY 1)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items, sha256(coalesce(t.t, '')) AS items_sha256,
  coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN t USING (rid)"""
 
@@ -108,8 +109,8 @@ def _op9() -> str:
  h AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(sum(y_{x}) AS DOUBLE) AS x_{x}" for x in names)} FROM j GROUP BY 1),
  m AS (SELECT {", ".join(f"(sum(x_{x}) + 0.5) / (sum(n) + 1.0) AS m_{x}" for x in names)} FROM h),
  s AS (SELECT {", ".join(f"{_fit(f'x_{x}', 'n', f'm_{x}')} AS f_{x}" for x in names)} FROM h CROSS JOIN m),
- k AS (SELECT host, greatest({", ".join(lows)}) <= {quality.HOST_RATE} AS ok FROM h CROSS JOIN m CROSS JOIN s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, y_few_words + y_repeats > 0 AS base_failed, j.host AS host, y_few_words + y_repeats = 0 AND k.ok AS kept
+ k AS (SELECT host, greatest({", ".join(lows)}) AS low FROM h CROSS JOIN m CROSS JOIN s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, y_few_words + y_repeats > 0 AS base_failed, j.host AS host, round(k.low, 6) AS host_low, y_few_words + y_repeats = 0 AND k.low <= {quality.HOST_RATE} AS kept
 FROM j JOIN k ON j.host IS NOT DISTINCT FROM k.host"""
 
 

@@ -76,7 +76,7 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def host_verdicts(fails: DataFrame, host_col: str = "source") -> DataFrame:
-    """(host, n, rate_<rule>, low_<rule>, host_ok): shrunk failure rates by host, with their lower bounds.
+    """(host, n, rate_<rule>, low_<rule>, host_low, host_ok): shrunk failure rates by host, with their lower bounds and the highest of these.
 
     ``fails`` has ``fail_<rule>`` columns. The mean of all hosts is smoothed by half a failure, so that it
     stays between 0 and 1.
@@ -93,30 +93,31 @@ def host_verdicts(fails: DataFrame, host_col: str = "source") -> DataFrame:
         at = (F.col(f"x_{x}"), F.col("n"), F.col(f"m_{x}"), priors.strength(F.col(f"r_{x}")))
         out = out.withColumn(f"rate_{x}", priors.mean(*at)).withColumn(f"low_{x}", priors.mean(*at) - BOUND * priors.spread(*at))
     worst = F.greatest(*[F.col(f"low_{x}") for x in names])
-    return out.select("host", "n", *[f"rate_{x}" for x in names], *[f"low_{x}" for x in names], (worst <= HOST_RATE).alias("host_ok"))
+    return out.select("host", "n", *[f"rate_{x}" for x in names], *[f"low_{x}" for x in names], worst.alias("host_low"), (worst <= HOST_RATE).alias("host_ok"))
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per row: id, figures, base_failed, host, kept."""
+    """Per row: id, figures, base_failed, host, host_low, kept."""
     cols = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     narrow = judged(docs.select(id_col, text_col, host_col), text_col)
     rows = materialize(narrow.select(*cols, host_col, *[f"fail_{x}" for x in rules()]), "quality")
-    hosts = materialize(host_verdicts(rows, host_col).select(F.col("host").alias("_host"), "host_ok"), "hosts")
+    hosts = materialize(host_verdicts(rows, host_col).select(F.col("host").alias("_host"), "host_low", "host_ok"), "hosts")
     back = rows.join(sized(hosts), F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    return back.select(*cols, F.col(host_col).alias("host"), (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
+    return back.select(*cols, F.col(host_col).alias("host"), "host_low", (~F.col("base_failed") & F.col("host_ok")).alias("kept"))
 
 
 def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The documents that pass, with their columns as they came.
 
-    The figures are worked out twice, once to count by host and once to judge, rather than moving texts:
-    only rejected hosts are joined, and they are broadcast if their written table is small.
+    The figures are worked out once: rows are written with what they fail (without the texts of those that
+    fail by themselves), hosts are counted from the narrow columns of that table, and rejected hosts leave it.
     """
     own = docs.columns
-    narrow = judged(docs.select(F.col(text_col), F.col(host_col)), text_col)
-    hosts = host_verdicts(narrow, host_col).filter(~F.col("host_ok")).select(F.col("host").alias("_host"))
-    rejected = materialize(hosts, "rejected")
-    held = docs.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(own)], F.col(text_col).alias("_text"), F.col(host_col).alias("_of"))
-    passed = judged(held, "_text").filter(~F.col("base_failed"))
-    passed = passed.join(sized(rejected), F.col("_of").eqNullSafe(F.col("_host")), "left_anti")
-    return passed.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(own)])
+    held = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(own)])
+    text, host = f"c{own.index(text_col)}", f"c{own.index(host_col)}"
+    fails = [f"fail_{x}" for x in rules()]
+    told = judged(held, text).withColumn(text, F.when(~F.col("base_failed"), F.col(text))).select(*held.columns, "base_failed", *fails)
+    rows = materialize(told, "judged")
+    hosts = host_verdicts(rows, host).filter(~F.col("host_ok")).select(F.col("host").alias("_host"))
+    passed = rows.filter(~F.col("base_failed")).join(sized(materialize(hosts, "rejected")), F.col(host).eqNullSafe(F.col("_host")), "left_anti")
+    return passed.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)])

@@ -32,7 +32,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.expr("CASE WHEN coalesce(quality, toxic) IS NOT NULL THEN CAST((quality <=> 0) OR (toxic <=> 1) AS INT) END")
     labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
     outcomes = pages.select("url", number.alias("doc_id")).join(labels, "doc_id").select("url", "bad")
-    return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
+    return urls.judge(pages, outcomes).select("page_id", "host", "path", "rule", "verdict", F.round("share", 6).alias("share"), F.round("low", 6).alias("low"))
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.verdicts(table(spark, sf_dir, "documents"))
+    return quality.verdicts(table(spark, sf_dir, "documents")).withColumn("host_low", F.round("host_low", 6))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 A fingerprint of 64 bits is eight positional bytes. Two fingerprints that differ in at most two bits
 differ in at most two of them, so they share at least six: that is the guaranteed number of matches.
-Lists of single positional bytes would hold 1/256 of all documents, and tallying their pairs grows
-with the square of the corpus. Postings are therefore keyed by four positional bytes at a time: of
-the four byte pairs two at least agree, so any pair in reach shares one of the six quadruples. Each
-candidate pair then has its shared positional bytes tallied, must reach six, and is verified bit by bit.
+Lists of single positional bytes would hold 1/256 of all documents, and tallying their pairs grows with
+the square of the corpus. Postings are therefore keyed by four positional bytes at a time, the 14 sets of
+the Steiner system S(3, 4, 8): every three of the eight positions are in one of the sets, and so of any six
+positions three sets, of seven seven, and of five or fewer one set at most. Tallying the lists that a pair
+shares thus tells whether it shares the guaranteed six bytes: pairs with ``MIN_LISTS`` or more are
+retained, and verified bit by bit.
 
 Lists longer than ``SHORT_LIST`` (groups of near copies) never have their pairs written out. Their
 fingerprints are posted once more under each one-bit variant of themselves: two fingerprints at most
 two bits apart share a variant, and such a list has 65 entries at most, all of them in reach of each
-other through it. Linking each entry to the list's smallest keeps every component whole.
+other through it. Linking each entry to the list's smallest keeps every component whole. A pair none of
+whose shared lists is long is tallied in full.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; equal rows share a
 fingerprint; a null doc_id never names a component unless the component has no other.
@@ -28,30 +31,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapelark.llm.common import apart, connected_components, materialize
+from tapelark.llm.common import apart, connected_components, materialize, sized
 
 SHINGLE_WORDS, SEED, MAX_BITS = 3, 42, 2
-#: Positional bytes that two fingerprints at most MAX_BITS apart share at least.
-MIN_MATCHES = 8 - MAX_BITS
+#: The sets of four positions by which fingerprints are posted: those whose numbers cancel out under exclusive or.
+PLACES = tuple(c for c in itertools.combinations(range(8), 4) if c[0] ^ c[1] ^ c[2] ^ c[3] == 0)
+#: Lists that two fingerprints at most MAX_BITS apart share at least: sets that avoid MAX_BITS positions.
+MIN_LISTS = min(sum(not {x, y} & set(c) for c in PLACES) for x, y in itertools.combinations(range(8), MAX_BITS))
 #: Longest posting list whose pairs are written out.
 SHORT_LIST = 24
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of a whole text."""
-    found = (text or "").encode().translate(_FOLD).split()
-    if not found:
-        return 0
+def folded_words(text: str | None) -> list[bytes]:
+    """The words of a whole text, A-Z lowered."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+
+
+def digests(found: list[bytes], shingle: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Unsigned XXH64 of the shingles of a text's words, repeats included, in blocks; fewer words are one shingle."""
+    spans = max(1, len(found) - shingle + 1) if found else 0
     digest = xxhash.xxh64_digest
-    spans = max(1, len(found) - shingle + 1)
-    ones = np.zeros(64, np.int64)
     for at in range(0, spans, _BLOCK):
         part = [found[at + k : min(at + _BLOCK, spans) + k] for k in range(min(shingle, len(found)))]
-        raw = b"".join([digest(b" ".join(x), seed) for x in zip(*part)])
-        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(b"".join([digest(b" ".join(x), seed) for x in zip(*part)]), ">u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash of a whole text."""
+    ones, spans = np.zeros(64, np.int64), 0
+    for part in digests(folded_words(text), shingle, seed):
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        spans += len(part)
     return int.from_bytes(np.packbits(2 * ones > spans).tobytes(), "big")
 
 
@@ -67,50 +79,28 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def _tallied(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share MIN_MATCHES positional bytes and differ in MAX_BITS bits at most."""
-    shared = sum(
-        (F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), 8 * p).bitwiseAND(255) == 0).cast("int") for p in range(8)
-    )
-    return (
-        pairs.withColumn("matches", shared)
-        .filter(F.col("matches") >= MIN_MATCHES)
-        .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-        .select("a", "b")
-        .distinct()
-    )
-
-
 def links(marks: DataFrame, short_list: int = SHORT_LIST) -> DataFrame:
     """Links (a, b) between different fingerprints whose components are those of all pairs in reach.
 
     ``marks`` has one row per distinct ``fp``.
     """
-    pair_masks = [0xFFFF << (16 * k) for k in range(4)]
-    masks = [x | y for x, y in itertools.combinations(pair_masks, 2)]
+    masks = [sum(0xFF << 8 * p for p in places) for places in PLACES]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posted = marks.select(
-        "fp",
-        F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("quad", "bytes"),
-    )
-    lists = apart(posted.groupBy("quad", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
-    short = posted.join(lists.filter(F.col("n") <= short_list).drop("n"), ["quad", "bytes"])
-    listed = short.groupBy("quad", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("l"))
-    pairs = listed.select(
-        F.explode(
-            F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as a, y as b))))")
-        ).alias("p")
-    ).select("p.a", "p.b")
-    crowded = posted.join(lists.filter(F.col("n") > short_list).drop("n"), ["quad", "bytes"]).select("fp").distinct()
-    variants = crowded.select(
-        "fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), k -> fp ^ shiftleft(1L, k)))")).alias("variant")
-    )
+    posted = marks.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("places", "bytes"))
+    lists = materialize(posted.groupBy("places", "bytes").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
+    held = posted.join(sized(lists), ["places", "bytes"])
+    listed = held.filter(F.col("n") <= short_list).groupBy("places", "bytes").agg(F.sort_array(F.collect_list("fp")).alias("l"))
+    every = "flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> struct(x as a, y as b))))"
+    pairs = listed.select(F.explode(F.expr(every)).alias("p")).select("p.a", "p.b")
+    tallied = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("lists")).filter(F.col("lists") >= MIN_LISTS).select("a", "b")
+    crowded = held.filter(F.col("n") > short_list).select("fp").distinct()
+    variants = crowded.select("fp", F.explode(F.expr("concat(array(fp), transform(sequence(0, 63), k -> fp ^ shiftleft(1L, k)))")).alias("variant"))
     stars = (
         variants.groupBy("variant").agg(F.collect_list("fp").alias("l")).filter(F.size("l") > 1)
         .select(F.array_min("l").alias("a"), F.explode("l").alias("b")).filter("a != b")
     )
-    # Entries of a variant's list are two bits from each other at most by way of the variant.
-    return _tallied(pairs.unionByName(stars))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
+    return tallied.unionByName(stars).filter(near).distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,19 +112,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         "component", F.coalesce("component", "fp")
     )
     lows = rooted.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = rooted.join(apart(lows, "lows"), "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(id_col, "fp", "component_id")
+    named = materialize(rooted.join(apart(lows, "lows"), "component").select("fp", "component_id"), "named")
+    return marked.join(sized(named), "fp").select(id_col, "fp", "component_id")
 
 
 def hex_mark(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: that of the smallest id. Of rows with one id, one stays; rows without id all stay.
-
-    Other columns come back unchanged.
-    """
-    first = groups(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return named.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))

@@ -6,6 +6,9 @@ below, and each level's prior strength is fitted by moments over all its members
 the lower posterior bound of its host's share is above ``MAX_BAD``; hosts without labels are judged by
 the posterior of the nearest level that has some.
 
+Rules are a table, joined to hosts by the suffixes of each host; a page then takes the longest of its host's
+rules whose path it begins with. Any number of rules goes this way.
+
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule and is judged
 by the overall share; labels that are null do not count; repeated rows count as often as they come.
 """
@@ -44,10 +47,8 @@ RULES = (
     Rule("allow", "com/fr/"),
     Rule("block", "com/de/"),
 )
-#: Rules become one expression, so their number is bounded.
-MAX_RULES = 500
-#: Suffixes of two labels under which domains are registered; any other suffix is the last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "com.cn", "co.in")
+#: Labels that, before a country's two letters, are a suffix of two labels under which domains are registered.
+SECOND_LEVEL = ("ac", "biz", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "id", "info", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 MAX_BAD, BOUND = 0.3, 1.0
 
 
@@ -60,25 +61,32 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.when(known, F.translate(host, UPPER, LOWER)).otherwise(""), F.when(known, path).otherwise("")
 
 
-def fitting_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The longest fitting rule as struct(rule, verdict), null if none; of equal length the first by text."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} go into an expression")
-    out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for rule in sorted(rules, key=lambda r: (len(r.pattern), [-ord(c) for c in r.pattern])):
-        fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
-        out = F.when(fits, F.struct(F.lit(rule.pattern).alias("rule"), F.lit(rule.verdict).alias("verdict"))).otherwise(out)
-    return out
+def rules_of(hosts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(host, rules): for hosts that have some, the rules of the host and of what it is a subdomain of, longest first, of equal length by text."""
+    kind = "rule_host string, path string, rule string, verdict string"
+    listed = materialize(hosts.sparkSession.createDataFrame([(r.host, r.path, r.pattern, r.verdict) for r in rules], kind), "rules")
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    fits = hosts.select("host", F.explode(suffixes).alias("rule_host")).join(sized(listed), "rule_host")
+    one = F.struct((-F.length("rule")).alias("size"), "rule", "path", "verdict")
+    return fits.groupBy("host").agg(F.sort_array(F.collect_set(one)).alias("rules"))
+
+
+def _long(host: Column, extra: tuple[str, ...]) -> Column:
+    """Whether the suffix under which a host's domain is registered has two labels."""
+    last, two = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+    national = last.rlike("^[a-z]{2}$") & F.substring_index(two, ".", 1).isin(*SECOND_LEVEL) & (two != last)
+    return national | two.isin(*extra) if extra else national
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def suffix_of(host: Column, extra: tuple[str, ...] = ()) -> Column:
+    """The last label, or the last two: of a country's second level, or one of ``extra``."""
+    return F.when(_long(host, extra), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def domain_of(host: Column, extra: tuple[str, ...] = ()) -> Column:
+    """The suffix with the label before it."""
+    return F.when(_long(host, extra), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def _shrunk(counts: DataFrame, mean: str) -> DataFrame:
@@ -89,13 +97,13 @@ def _shrunk(counts: DataFrame, mean: str) -> DataFrame:
     return out.withColumn(mean, priors.mean(*at)).withColumn("sd", priors.spread(*at))
 
 
-def reputation(outcomes: DataFrame, all_hosts: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, all_hosts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """(host, n, share, low) for each host: labelled pages, posterior mean and lower bound of the bad share.
 
     ``outcomes`` has (host, bad) with bad 0, 1 or null; ``all_hosts`` has distinct ``host``.
     """
     tally = outcomes.filter(F.col("bad").isNotNull()).groupBy("host").agg(F.sum("bad").cast("long").alias("bad"), F.count(F.lit(1)).alias("n"))
-    tally = materialize(tally.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "tally")
+    tally = materialize(tally.withColumn("domain", domain_of(F.col("host"), extra)).withColumn("suffix", suffix_of(F.col("host"), extra)), "tally")
     whole = tally.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("prior"))
     whole = materialize(whole, "overall")
     sums = [F.sum("bad").alias("bad"), F.sum("n").alias("n")]
@@ -105,7 +113,7 @@ def reputation(outcomes: DataFrame, all_hosts: DataFrame) -> DataFrame:
     domains = materialize(_shrunk(domains, "m_domain").select("domain", "m_domain"), "domains")
     hosts = tally.join(sized(domains), "domain").withColumnRenamed("m_domain", "prior")
     fit = materialize(hosts.agg(priors.correlation(F.col("bad"), F.col("n"), F.col("prior")).alias("rho")), "fit")
-    named = all_hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    named = all_hosts.withColumn("domain", domain_of(F.col("host"), extra)).withColumn("suffix", suffix_of(F.col("host"), extra))
     every = (
         named.join(tally.select("host", "bad", "n"), "host", "left")
         .join(sized(domains), "domain", "left").join(sized(suffixes), "suffix", "left").crossJoin(F.broadcast(whole))
@@ -118,14 +126,22 @@ def reputation(outcomes: DataFrame, all_hosts: DataFrame) -> DataFrame:
     return every.select("host", "n", share.alias("share"), (share - BOUND * priors.spread(*at)).alias("low"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``pages`` with host, path, rule, share, verdict, in place of columns of those names; ``outcomes`` has (url, bad) for labelled pages."""
+def judge(pages: DataFrame, outcomes: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``pages`` with host, path, rule, share, low, verdict, in place of columns of those names; ``outcomes`` has (url, bad) for labelled pages.
+
+    ``extra`` are further suffixes of two labels under which domains are registered.
+    """
     host, path = split_url(F.col(url_col))
     held = pages.select(F.struct("*").alias("row"), host.alias("host"), path.alias("path"))
     labelled = outcomes.select(split_url(F.col("url"))[0].alias("host"), "bad")
-    known = materialize(reputation(labelled, held.select("host").distinct()).withColumnRenamed("host", "_host"), "reputation")
+    hosts = materialize(held.select("host").distinct(), "hosts")
+    known = reputation(labelled, hosts, extra).join(rules_of(hosts, rules), "host", "left")
+    known = materialize(known.withColumnRenamed("host", "_host"), "reputation")
     out = held.join(sized(known), F.col("host") == F.col("_host"), "left")
-    fit = fitting_rule(F.col("host"), F.col("path"), rules)
+    fit = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])), F.lit(0))
     by_share = F.when(F.col("low") > MAX_BAD, "block").otherwise("allow")
-    made = {"host": F.col("host"), "path": F.col("path"), "rule": fit["rule"], "share": F.col("share"), "verdict": F.coalesce(fit["verdict"], by_share)}
+    made = {
+        "host": F.col("host"), "path": F.col("path"), "rule": fit["rule"], "share": F.col("share"), "low": F.col("low"),
+        "verdict": F.coalesce(fit["verdict"], by_share),
+    }
     return out.select(*[F.col("row")[c].alias(c) for c in pages.columns if c not in made], *[c.alias(k) for k, c in made.items()])

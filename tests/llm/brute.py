@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -53,7 +54,7 @@ def contamination(docs, items, window=13):
     for item, text in items:
         found = ALNUM.findall(az(text))
         for i in range(max(1, len(found) - window + 1) if found else 0):
-            phrases[tuple(found[i : i + window])].add(str(item))
+            phrases[tuple(found[i : i + window])].update(() if item is None else (str(item),))
     widths = {len(p) for p in phrases}
     out = []
     for doc, text in docs:
@@ -157,3 +158,68 @@ def repeated_sentences(docs, span=2, least=30, long=50):
                     break  # longer ones can lose an end
         out[doc] = (len(parts), sorted(gone))
     return out
+
+
+def chat(turns, tools):
+    """(conv_id, turn, part, kind, call_id, name, status, call_turn) of every item, one conversation after another.
+
+    ``tools`` has a function for each tool that says whether it takes the arguments.
+    """
+    items, out = defaultdict(list), []
+    for conv, turn, role, text in turns:
+        try:
+            value = json.loads(text) if text and text.lstrip()[:1] == "{" else None
+        except ValueError:
+            value = None
+        found = []
+        if value and role == "assistant" and isinstance(value.get("tool_calls"), list):
+            if value.get("content"):
+                found.append(("message", None, None, None))
+            for call in value["tool_calls"]:
+                inner = call.get("function", call)
+                args = inner.get("arguments")
+                if isinstance(args, str):
+                    try:
+                        args = json.loads(args)
+                    except ValueError:
+                        pass
+                found.append(("call", call.get("id"), inner.get("name"), args))
+        elif value and role in ("tool", "function") and "tool_call_id" in value:
+            found.append(("result", value["tool_call_id"], None, None))
+        for part, x in enumerate(found or [("message", None, None, None)]):
+            items[conv].append((turn, part, *x))
+    for conv, every in items.items():
+        first = {}
+        for turn, part, kind, call, name, _ in sorted(every, key=lambda x: x[:2]):
+            if kind == "call" and call is not None and conv is not None:
+                first.setdefault(call, (turn, part, name))
+        answered = {x[3] for x in every if x[2] == "result"}
+        for turn, part, kind, call, name, args in every:
+            status, at = "ok", first.get(call) if kind != "message" else None
+            if kind == "call":
+                good = name in tools and tools[name](args)
+                status = "duplicate_id" if at and at[:2] != (turn, part) else "unknown_tool" if name not in tools else None if not good else "ok" if at and call in answered else "unanswered"
+            elif kind == "result":
+                status, name = ("ok", at[2]) if at else ("orphan", None)
+            out.append((conv, turn, part, kind, call, name, status, at[0] if at else None))
+    return out
+
+
+def licences(docs, best, share, named):
+    """(doc_id, licence, origin, inherited_from): nearest directory above with a licence file, for documents without a licence of their own.
+
+    ``best`` has each document's licence, ``share`` whether its licence text is most of it, ``named`` whether its path is a licence file's.
+    """
+    held = {}
+    for doc, path in sorted(docs, key=lambda x: (x[1], best[x[0]] or "")):
+        if best[doc] and (share[doc] or named[doc]):
+            held.setdefault("/".join(path.split("/")[:-1]), best[doc])
+    out = []
+    for doc, path in docs:
+        parts, found, where = path.split("/")[:-1], best[doc], None
+        for n in range(len(parts), -1, -1):
+            if found is None and "/".join(parts[:n]) in held:
+                where = "/".join(parts[:n])
+                found = held[where]
+        out.append((doc, found, "header" if best[doc] else "inherited" if found else "none", where))
+    return out

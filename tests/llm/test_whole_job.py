@@ -54,7 +54,7 @@ def test_near_copies_of_the_stage(spark, monkeypatch, short):
     want = near_copies(texts)
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     default = near.components.__defaults__
-    monkeypatch.setattr(near.components, "__defaults__", (default[0], short))
+    monkeypatch.setattr(near.components, "__defaults__", (default[0], short, 3))
     got = near.keep_one(rows)
     assert {r.doc_id for r in got.collect()} == want and 20 < len(want) < len(texts) - 20
 
