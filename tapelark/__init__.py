@@ -4,7 +4,8 @@ from importlib import import_module
 
 _where = {
     "SealBrokenWarning": "errors", "TapeError": "errors", "Store": "sources.store", "watch": "recorder",
-    "compare_runs": "operators.compare", "find_runs": "plans.find", "to_dataframe": "operators.frame",
+    "compare_runs": "operators.compare", "compare_query": "operators.compare", "find_runs": "plans.find", "to_dataframe": "operators.frame",
+    "register": "functions.sql", "scan": "sources.checkpoints", "parse_trigger": "config",
 }
 __all__ = list(_where)
 
@@ -13,4 +14,4 @@ def __getattr__(name: str):
     """Names load when they are used, so that a worker that needs one operator imports no other."""
     if name not in _where:
         raise AttributeError(name)
-    return getattr(import_module(f"tapelark.{_where[name]}"), "compare" if name == "compare_runs" else name)
+    return getattr(import_module(f"tapelark.{_where[name]}"), {"compare_runs": "compare", "scan": "record"}.get(name, name))

@@ -5,23 +5,25 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import webbrowser
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tapelark import viewer
-from tapelark.config import band, check_tags, estimate, estimate_line, parse_trigger, read_watchlist
-from tapelark.errors import AlreadyThere, BadInput, NotFound, SealBroken, TapeError, TooLarge
+from tapelark.config import check_tags, estimate_line, gate, parse_trigger, read_watchlist
+from tapelark.errors import BadInput, NotFound, SealBroken, TapeError
 from tapelark.functions import addresses
 from tapelark.functions.formats import json_lines
 from tapelark.operators import compare as cohorts
 from tapelark.operators import report, seal
-from tapelark.operators.frame import TABLE_ADDRESSES, deep_frame
+from tapelark.operators.frame import MOST_ADDRESSES, TABLE_ADDRESSES, TABLE_TOKENS, deep_frame
 from tapelark.plans.find import find_runs
 from tapelark.plans.query import token_range
+from tapelark.recorder import watch
 from tapelark.sources import checkpoints
-from tapelark.sources.store import Store
+from tapelark.sources.store import Store, document
 
 
 def parser() -> argparse.ArgumentParser:
@@ -50,14 +52,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def scan(spark, store: Store, a) -> list[str]:
-    if not a.api_model and not a.weights_path:
-        raise BadInput("a folder of weights or --api-model is needed")
-    rows = checkpoints.api_model(spark, a.api_model) if a.api_model else checkpoints.manifest(spark, a.weights_path)
-    row = rows.head()
-    known = store.table("manifests").filter((F.col("model_id") == row.model_id) & (F.col("checkpoint_sha256") == row.checkpoint_sha256))
-    if not known.isEmpty() and not a.force:
-        raise AlreadyThere(f"{row.model_id} has a manifest; --force writes another")
-    rows.write.mode("append").parquet(store.where("manifests"))
+    row = checkpoints.record(store, a.weights_path, a.api_model, a.force)
     if a.output:
         Path(a.output).write_text(json.dumps(row.asDict(), sort_keys=True, indent=2) + "\n")
     found = {"manifest": a.output or store.where("manifests"), "model_id": row.model_id, "checkpoint_sha256": row.checkpoint_sha256}
@@ -65,22 +60,25 @@ def scan(spark, store: Store, a) -> list[str]:
 
 
 def run(spark, store: Store, a) -> list[str]:
-    """Checks and estimate of a recording; rows come in by the recorder or the stream."""
+    """Gate and estimate; then, but for a dry run, a document is recorded under the watch file and sealed."""
     if a.limit < 1:
         raise BadInput("limit is at least 1")
-    check_tags(a.tag)
     parse_trigger(a.trigger)
+    check_tags(a.tag)
     held = read_watchlist(a.watch, trigger=a.trigger, precision=a.precision)
-    manifest = store.table("manifests").filter((F.col("model_id") == held.model_id) & F.col("layers").isNotNull()).head()
-    arch = {k: manifest[k] for k in ("layers", "heads", "mlp")} if manifest else addresses.DEFAULT_ARCH
-    for entry in held.entries:
-        addresses.check(entry.get("addresses", []), arch)
-    width = held.width(spark, arch)
-    size = estimate(width, held.window.tokens, a.limit, held.precision)
-    if band(size) == "RED" and not a.force:
-        raise TooLarge(estimate_line(width, held.window.tokens, a.limit, held.precision))
-    line = estimate_line(width, held.window.tokens, a.limit, held.precision)
-    return [json.dumps({"watched": width, "tokens": held.window.tokens, "runs": a.limit, "bytes": size, "band": band(size), "dry_run": a.dry_run}, sort_keys=True) if a.json else line]
+    plan = gate(spark, held, store.manifest(held.model_id, held.checkpoint_sha256), a.limit, a.force)
+    line = estimate_line(plan["watched"], plan["tokens"], plan["runs"], plan["precision"])
+    if a.dry_run:
+        return [json.dumps(plan | {"dry_run": True}, sort_keys=True) if a.json else f"{line} Proceeding."]
+    with watch(spark, a.watch, trigger=a.trigger, precision=a.precision, tag=a.tag, store=store.path, force=a.force, runs=a.limit) as recorder:
+        recorder.call(lambda _: "", "", seed=a.seed)
+    store.seal()
+    run_id = recorder.run_ids[-1]
+    sealed, size = store.table("seals").filter(F.col("run_id") == run_id).head(), len(recorder.last.encode())
+    if a.json:
+        return [json.dumps({"run": run_id, "hash": sealed.hash, "outer_kb": round(size / 1e3, 1), "deep_mb": 0.0, "flag": plan["band"]}, sort_keys=True)]
+    good = "OK" if store.verify_run(run_id) else "BROKEN"
+    return [f"{line} Proceeding.", f"{run_id} sealed | outer {size / 1e3:.1f}KB | hash {sealed.hash[:4]}... | chain {good}"]
 
 
 def find(spark, store: Store, a) -> list[str]:
@@ -132,19 +130,27 @@ def view(spark, store: Store, a) -> list[str]:
     one = store.table("runs").filter(F.col("run_id") == a.run_id)
     if one.isEmpty():
         raise NotFound(f"{a.run_id} not found")
+    doc = document(json_lines(one).head().j)
     held = store.table("series").filter(F.col("run_id") == a.run_id)
     if a.addrs:
         names = a.addrs.split(",")
         for n in names:
             addresses.parse(n)
     else:
-        names = [r.address for r in held.select("address").orderBy("address").limit(TABLE_ADDRESSES).collect()]
+        most = MOST_ADDRESSES if a.export_html else TABLE_ADDRESSES
+        names = [r.address for r in held.select("address").orderBy("kind", "layer", "idx", "address").limit(most).collect()]
     frame = deep_frame(one, held, names, token_range(a.tokens) if a.tokens else None)
+    good, watched = store.verify_run(a.run_id), held.count()
     if a.export_html:
-        good = not store.verified().filter((F.col("run_id") == a.run_id) & F.col("ok")).isEmpty()
-        Path(a.export_html).write_text(viewer.page(frame, a.run_id, names, good))
+        Path(a.export_html).write_text(viewer.page(frame, doc, names, good))
+        if a.open:
+            webbrowser.open(Path(a.export_html).resolve().as_uri())
         return [a.export_html]
-    return [viewer.to_json(frame) if a.json else viewer.format_table(frame, names)]
+    rows = viewer.token_rows(frame, names, (doc.get("output") or {}).get("tokens") or [], viewer.shown(frame, None if a.tokens else TABLE_TOKENS))
+    if a.json:
+        return [viewer.to_json(doc, rows, good)]
+    seal_row = store.table("seals").filter(F.col("run_id") == a.run_id).head()
+    return [viewer.format_table(doc, rows, names, good, watched, seal_row.hash if seal_row else "0" * 64, not a.no_color)]
 
 
 def size(spark, store: Store, a) -> list[str]:

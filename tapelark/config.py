@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tapelark.errors import BadInput, NotFound, TooLarge
+from tapelark.errors import BadInput, NotFound, OtherCheckpoint, TooLarge
 from tapelark.functions import addresses
 from tapelark.functions.formats import BYTES
 
@@ -48,30 +48,41 @@ class Trigger:
     high: float = 0.0
 
 
+_SECONDS = re.compile(r"window:(\d+(?:\.\d+)?)s\.\.(\d+(?:\.\d+)?)s")
+_TOKENS = re.compile(r"window:(\d+)\.\.(\d+)")
+
+
 def parse_trigger(spec: str | dict | None) -> Trigger:
-    """A trigger from its text (``always``, ``on_flag:bad_output``, ``window:0..2.5``, ``tokens:3..9``, ``gate:A-01-01:0.2..0.9``) or its mapping."""
-    if spec in (None, "always", {"always": True}):
+    """A trigger from its text or its mapping; both bounds of a range belong to it.
+
+    Texts: ``always``, ``on_flag:bad_output``, ``window:5s..10s`` (seconds since the start), ``window:10..50`` (tokens).
+    Mappings: ``{"on_flag": name}``, ``{"window": {"after_s", "until_s"}}``, ``{"address", "lo", "hi"}`` (a cell's value).
+    """
+    if spec is None or spec == "always":
         return Trigger()
     if isinstance(spec, str):
-        kind, _, rest = spec.partition(":")
-        if kind == "on_flag" and rest:
-            return Trigger("on_flag", flag=rest)
-        head, _, bounds = rest.rpartition(":")
-        found = re.fullmatch(r"(-?[\d.]+)\.\.(-?[\d.]+)", bounds)
-        kinds = {"window": "time_window", "time_window": "time_window", "tokens": "token_range", "token_range": "token_range", "gate": "address_gate", "address_gate": "address_gate"}
-        if kind in kinds and found:
-            return _ranged(kinds[kind], found[1], found[2], head)
-    elif isinstance(spec, dict) and len(spec) == 1:
-        [(kind, value)] = spec.items()
-        if kind == "on_flag":
-            return Trigger("on_flag", flag=str(value))
-        if kind in ("window", "time_window") and isinstance(value, dict):
-            return _ranged("time_window", value.get("after_s", 0), value.get("until_s", math.inf))
-        if kind == "token_range" and isinstance(value, dict):
-            return _ranged(kind, value.get("start", value.get("lo", 0)), value.get("end", value.get("hi", math.inf)))
-        if kind == "address_gate" and isinstance(value, dict):
-            return _ranged(kind, value.get("lo", -math.inf), value.get("hi", math.inf), value.get("address", value.get("addr", "")))
-    raise BadInput(f"bad trigger {spec!r}")
+        if spec.startswith("on_flag:") and spec != "on_flag:":
+            return Trigger("on_flag", flag=spec.removeprefix("on_flag:"))
+        for shape, kind in ((_SECONDS, "time_window"), (_TOKENS, "token_range")):
+            if found := shape.fullmatch(spec):
+                return _ranged(kind, *found.groups())
+    elif isinstance(spec, dict):
+        keys = set(spec)
+        if keys == {"on_flag"} and isinstance(spec["on_flag"], str):
+            return Trigger("on_flag", flag=spec["on_flag"])
+        if keys == {"window"} and isinstance(spec["window"], dict) and {"after_s", "until_s"} <= set(spec["window"]):
+            out = _ranged("time_window", spec["window"]["after_s"], spec["window"]["until_s"])
+            if out.low >= 0:
+                return out
+        if keys == {"address", "lo", "hi"} and isinstance(spec["address"], str):
+            return _ranged("address_gate", spec["lo"], spec["hi"], spec["address"])
+    raise BadInput(f"bad trigger {spec!r}; of always, on_flag:bad_output, window:5s..10s, window:10..50")
+
+
+def trigger_text(trigger: Trigger) -> str | dict:
+    """The spelling that ``parse_trigger`` reads; an address gate has a mapping only."""
+    plain = {"always": "always", "on_flag": f"on_flag:{trigger.flag}", "time_window": f"window:{trigger.low:g}s..{trigger.high:g}s", "token_range": f"window:{trigger.low:g}..{trigger.high:g}"}
+    return plain.get(trigger.kind) or {"address": trigger.address, "lo": trigger.low, "hi": trigger.high}
 
 
 def _ranged(kind: str, low, high, address: str = "") -> Trigger:
@@ -79,7 +90,7 @@ def _ranged(kind: str, low, high, address: str = "") -> Trigger:
         out = Trigger(kind, address=address, low=float(low), high=float(high))
     except (TypeError, ValueError) as e:
         raise BadInput(f"bad bounds {low}..{high}") from e
-    if out.high < out.low:
+    if not out.low <= out.high:
         raise BadInput(f"reversed bounds {low}..{high}")
     if kind == "address_gate":
         addresses.parse(address)
@@ -201,19 +212,25 @@ def read_watchlist(path: str, add: list[str] | None = None, window: Window | Non
 
 
 def drifted(watchlist: Watchlist, manifest: dict) -> bool:
-    """Whether a watch file was written for another model or checkpoint."""
-    return (watchlist.model_id, watchlist.checkpoint_sha256) != (manifest["model_id"], manifest["checkpoint_sha256"])
+    """Whether a watch file was written for another model or checkpoint; one that names neither fits all."""
+    own = (watchlist.model_id, watchlist.checkpoint_sha256)
+    return any(own) and own != (manifest["model_id"], manifest["checkpoint_sha256"])
+
 
+def gate(spark, watchlist: Watchlist, manifest: dict | None, runs: int = 1, force: bool = False) -> dict:
+    """Checks before a run, in order: checkpoint, addresses, size; the red band needs ``force``.
 
-def gate(spark, watchlist: Watchlist, manifest: dict, runs: int, force: bool = False) -> dict:
-    """Checks before a run, in order: addresses, checkpoint, size; the red band needs ``force``."""
-    arch = {k: manifest[k] for k in ("layers", "heads", "mlp")}
+    Without a manifest addresses are checked against the default architecture.
+    """
+    if runs < 1:
+        raise BadInput("runs are at least 1")
+    arch = {k: manifest[k] for k in ("layers", "heads", "mlp")} if manifest else addresses.DEFAULT_ARCH
+    if manifest and drifted(watchlist, manifest):
+        raise OtherCheckpoint("the watch file belongs to another checkpoint")
     for entry in watchlist.entries:
         addresses.check(entry.get("addresses", []), arch)
-    if drifted(watchlist, manifest):
-        raise BadInput("the watch file belongs to another checkpoint")
     width = watchlist.width(spark, arch)
     size = estimate(width, watchlist.window.tokens, runs, watchlist.precision)
     if band(size) == "RED" and not force:
-        raise TooLarge(f"{size / 1e9:.1f} GB is in the red band; force it or watch less")
-    return {"watched": width, "tokens": watchlist.window.tokens, "runs": runs, "bytes": size, "band": band(size)}
+        raise TooLarge(f"{estimate_line(width, watchlist.window.tokens, runs, watchlist.precision)}; force it or watch less, nothing ran")
+    return {"watched": width, "tokens": watchlist.window.tokens, "runs": runs, "bytes": size, "band": band(size), "precision": watchlist.precision}

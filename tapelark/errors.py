@@ -22,6 +22,10 @@ class BadAddress(TapeError):
     code, status = "E04", 4
 
 
+class OtherCheckpoint(BadAddress):
+    """A watch file that belongs to another model or checkpoint."""
+
+
 class TooLarge(TapeError):
     """An estimate in the red band that nobody forced."""
 

@@ -9,7 +9,7 @@ from tapelark.errors import BadInput, NotFound
 from tapelark.functions import cells
 from tapelark.functions.addresses import Span, parse
 from tapelark.plans.find import run_condition
-from tapelark.plans.query import RunCond, group
+from tapelark.plans.query import Compare, RunCond, group, parse_compare
 
 STATS = ("mean", "p95", "max", "min", "firing_rate")
 
@@ -46,11 +46,15 @@ def compare(
 
     A run may be on both sides. ``spans`` are addresses or ranges of them.
     """
+    sides = {"good": group(good) if isinstance(good, str) else good, "bad": group(bad) if isinstance(bad, str) else bad}
+    return _compared(runs, series, sides, spans, tokens, limit, stats)
+
+
+def _compared(runs: DataFrame, series: DataFrame, sides: dict[str, RunCond], spans: list[str] | list[Span], tokens: tuple[int, int], limit: int, stats: str) -> DataFrame:
     if not 1 <= limit <= 100_000:
         raise BadInput(f"limit {limit} is not in 1..100000")
     wanted = parse_stats(stats)
     held = [parse(s) if isinstance(s, str) else s for s in spans]
-    sides = {"good": group(good) if isinstance(good, str) else good, "bad": group(bad) if isinstance(bad, str) else bad}
     marks = F.filter(F.array(*[F.when(run_condition(c), F.lit(k)) for k, c in sides.items()]), lambda x: x.isNotNull())
     members = runs.select("run_id", F.explode(marks).alias("side"))
     inside: Column = F.lit(False)
@@ -60,7 +64,7 @@ def compare(
     got = pooled_by_side(sided, ["address", "side"], *tokens, limit, wanted.get("firing_rate", cells.FIRING))
     spark = runs.sparkSession
     names = spark.createDataFrame([(n,) for s in held for n in s.names()], "address string").distinct()
-    grid = names.select("address", F.explode(F.array(F.lit("good"), F.lit("bad"))).alias("side"))
+    grid = names.select("address", F.explode(F.array(*map(F.lit, sides))).alias("side"))
     out = grid.join(got, ["address", "side"], "left")
     return out.select(
         "address", "side", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_values", F.lit(0)).alias("n_values"), *[F.col(s) for s in wanted],
@@ -68,6 +72,13 @@ def compare(
     )
 
 
+def compare_query(runs: DataFrame, series: DataFrame, query: str | Compare, limit: int = 10_000) -> DataFrame:
+    """``compare`` for the text of a COMPARE GROUPS query, whose groups are named by their conditions; any number of groups."""
+    q = parse_compare(query) if isinstance(query, str) else query
+    sides = {f"{c.kind}:{c.value}": c for c in q.groups}
+    return _compared(runs, series, sides, list(q.spans), (q.low, q.high), limit, ",".join(q.stats))
+
+
 def require_both(result: DataFrame) -> DataFrame:
     """Raise if every address has a side without runs."""
     if result.groupBy("address").agg(F.max("empty").alias("e")).filter("NOT e").isEmpty():

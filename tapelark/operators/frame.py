@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tapelark.errors import BadInput, NotFound, SealBrokenWarning
 from tapelark.functions import cells
+from tapelark.functions.addresses import check
 
 COLUMNS = {
     "run_id": "string", "token_pos": "int", "token": "string", "value": "float",
@@ -25,21 +26,24 @@ def outer_frame(runs: DataFrame, address: str = "") -> DataFrame:
     )
 
 
-def deep_frame(runs: DataFrame, series: DataFrame, wanted: list[str], tokens: tuple[int, int] | None = None, verified: DataFrame | None = None) -> DataFrame:
-    """Long form of the wanted addresses: a row per token and address, in that order.
+def deep_frame(runs: DataFrame, series: DataFrame, wanted: list[str] | None = None, tokens: tuple[int, int] | None = None, verified: DataFrame | None = None) -> DataFrame:
+    """Long form of the wanted addresses (none: all that were watched): a row per token and address, in that order.
 
     An address that a run did not watch gives rows with ``watched`` false and NaN. The text of a token is
     its id in the output, or else the prompt.
     """
-    spark = runs.sparkSession
-    asked = spark.createDataFrame(list(enumerate(wanted)), "address_ord int, address string")
-    length = series.groupBy("run_id").agg(F.max(F.size("series")).alias("n_tokens"))
-    held = series.join(F.broadcast(asked.select("address")), "address", "left_semi").select("run_id", "address", "layer", "series")  # as many rows as the caller names
-    grid = runs.select("run_id", F.col("prompt.text").alias("_prompt"), F.col("output.tokens").alias("_ids")).join(length, "run_id").crossJoin(F.broadcast(asked))
-    low, high = tokens or (0, 2**31 - 2)
+    spark, low, high = runs.sparkSession, *(tokens or (0, 2**31 - 2))
+    about = runs.select("run_id", F.col("prompt.text").alias("_prompt"), F.col("output.tokens").alias("_ids"))
+    if wanted is None:
+        grid = series.select("run_id", "address", "layer", "series", F.struct("kind", "layer", "idx", "address").alias("address_ord")).join(about, "run_id")
+        grid = grid.withColumn("n_tokens", F.size("series"))
+    else:
+        asked = spark.createDataFrame(list(enumerate(wanted)), "address_ord int, address string")
+        length = series.groupBy("run_id").agg(F.max(F.size("series")).alias("n_tokens"))
+        held = series.join(F.broadcast(asked.select("address")), "address", "left_semi").select("run_id", "address", "layer", "series")  # as many rows as the caller names
+        grid = about.join(length, "run_id").crossJoin(F.broadcast(asked)).join(held, ["run_id", "address"], "left")
     last = F.least(F.lit(high), F.col("n_tokens") - 1)
-    grid = grid.filter(last >= low).join(held, ["run_id", "address"], "left")
-    rows = grid.withColumn("token_pos", F.explode(F.sequence(F.lit(low), last)))
+    rows = grid.filter(last >= low).withColumn("token_pos", F.explode(F.sequence(F.lit(low), last)))
     text = F.coalesce(F.try_element_at("_ids", F.col("token_pos") + 1).cast("string"), F.col("_prompt"))
     value = F.coalesce(F.try_element_at("series", F.col("token_pos") + 1), F.lit(float("nan")).cast("float"))
     out = rows.select("run_id", "token_pos", text.alias("token"), value.alias("value"), "address", "layer", F.col("series").isNotNull().alias("watched"), "address_ord")
@@ -50,8 +54,10 @@ def deep_frame(runs: DataFrame, series: DataFrame, wanted: list[str], tokens: tu
     return out.orderBy("run_id", "token_pos", "address_ord").select(*[F.col(k).cast(v).alias(k) for k, v in COLUMNS.items()])
 
 
-def to_dataframe(runs: DataFrame, series: DataFrame, run_id: str, what: str = "deep", tokens: tuple[int, int] | None = None, addresses: list[str] | None = None, verified: DataFrame | None = None) -> DataFrame:
-    """The frame of one run; ``what`` is outer, deep or outer+deep (the same as deep)."""
+def to_dataframe(runs: DataFrame, series: DataFrame, run_id: str, what: str = "deep", tokens: tuple[int, int] | None = None, addresses: list[str] | None = None, verified: DataFrame | None = None, manifest: dict | None = None) -> DataFrame:
+    """The frame of one run; ``what`` is outer, deep or outer+deep (the same as deep). Addresses are checked against ``manifest`` if there is one."""
+    if manifest and addresses:
+        check(addresses, {k: manifest[k] for k in ("layers", "heads", "mlp")})
     one = runs.filter(F.col("run_id") == run_id)
     if one.isEmpty():
         raise NotFound(f"{run_id} not found")
@@ -67,8 +73,7 @@ def to_dataframe(runs: DataFrame, series: DataFrame, run_id: str, what: str = "d
         raise BadInput(f"{run_id} has no recorded cells")
     if tokens is not None and not 0 <= tokens[0] <= tokens[1] < top:
         raise BadInput(f"tokens {tokens[0]}..{tokens[1]} are not in 0..{top - 1}")
-    names = addresses or [r.address for r in held.select("address", "kind", "layer", "idx").orderBy("kind", "layer", "idx", "address").collect()]
-    return deep_frame(one, held, names, tokens, verified)
+    return deep_frame(one, held, addresses, tokens, verified)
 
 
 def token_table(frame: DataFrame, addresses: list[str], n_tokens: int = TABLE_TOKENS) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,23 @@ def latest(lines: DataFrame, key: str = "run_id") -> DataFrame:
     return lines.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n", "file", "line")
 
 
+def exact(rows: DataFrame, check: Callable[[dict], bool]) -> DataFrame:
+    """Rows that a check of the caller's keeps; a row on which it raises is no match."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def good(row: dict) -> bool:
+            try:
+                return bool(check(row))
+            except Exception:
+                return False
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array([good(dict(zip(names, r.values(), strict=True))) for r in batch.to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def scan(hot: DataFrame, predicate) -> DataFrame:
     """Rows that any predicate column keeps, in order of run."""
     return hot.filter(predicate).orderBy("run_id")

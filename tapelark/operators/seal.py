@@ -1,14 +1,18 @@
 """Seals: a SHA-256 hash chain over runs, and its verification.
 
 A run's hash is that of the text of: previous hash, hash of the document, hash of the matrix (of nothing
-if there is none), canonical replay object. Sealing is a fold, in order; verification is parallel but
-for the running "no break so far", which is a window over the chain's short rows.
+if there is none), canonical replay object. Sealing is a fold, in order; verification is parallel.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GENESIS = "0" * 64
 ALGORITHM = "sha256"
@@ -22,26 +26,40 @@ def sealed(runs: DataFrame, order: str = "run_id", genesis: str = GENESIS) -> Da
     """(pos, run_id, hash, prev_hash, sha_outer, sha_deep): the runs linked one to another in ``order``.
 
     ``runs`` has run_id, sha_outer, sha_deep and the canonical ``replay``. The chain is serial by its
-    nature: only these short hashes meet in one task, one batch of new runs at a time.
+    nature: the short rows of one batch of new runs are sorted in one task, which spills, and the fold goes
+    over them with nothing but the last hash in hand.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "run_id", "sha_outer", F.coalesce("sha_deep", F.sha2(F.lit(""), 256)).alias("sha_deep"), "replay")))
-    start = F.struct(F.lit(genesis).alias("h"), F.array().cast("array<string>").alias("l"))
-
-    def step(acc: Column, x: Column) -> Column:
-        h = F.sha2(F.concat(acc["h"], x["sha_outer"], x["sha_deep"], x["replay"]), 256)
-        return F.struct(h.alias("h"), F.array_append(acc["l"], h).alias("l"))
-
-    whole = runs.agg(rows.alias("r")).withColumn("h", F.aggregate("r", start, step)["l"])
-    each = whole.select("h", F.posexplode("r").alias("pos", "x"))
-    previous = F.when(F.col("pos") == 0, F.lit(genesis)).otherwise(F.get("h", F.col("pos") - 1))
-    return each.select(F.col("pos").cast("long").alias("pos"), "x.run_id", F.get("h", "pos").alias("hash"), previous.alias("prev_hash"), "x.sha_outer", "x.sha_deep")
+    kind = T.StructType([T.StructField("pos", T.LongType()), T.StructField("run_id", runs.schema["run_id"].dataType), *[T.StructField(c, T.StringType()) for c in ("hash", "prev_hash", "sha_outer", "sha_deep")]])
+    rows = runs.select(F.col(order).alias("o"), "run_id", "sha_outer", F.coalesce("sha_deep", F.sha2(F.lit(""), 256)).alias("sha_deep"), "replay")
+    line = rows.repartition(1).sortWithinPartitions("o", "run_id", "sha_outer").select("run_id", "sha_outer", "sha_deep", "replay")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos, last = 0, genesis
+        for batch in batches:
+            hashes, before = [], []
+            for outer, deep, replay in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+                before.append(last)
+                # A row without its parts has no hash; the chain goes on from the last one there is.
+                whole = None if None in (outer, replay) else hashlib.sha256(f"{last}{outer}{deep}{replay}".encode()).hexdigest()
+                last = whole or last
+                hashes.append(whole)
+            where = pa.array(range(pos, pos + len(hashes)), pa.int64())
+            pos += len(hashes)
+            yield pa.RecordBatch.from_arrays([where, batch.column(0), pa.array(hashes, pa.string()), pa.array(before, pa.string()), batch.column(1), batch.column(2)], names=kind.names)
+
+    return line.mapInArrow(fold, kind)
 
 
 def breaks(chain: DataFrame, genesis: str = GENESIS) -> DataFrame:
-    """Chain rows with ``broken_before``: whether a bad line or a wrong link stands at or before the row."""
-    along = Window.orderBy("pos")
-    wrong = F.coalesce(F.col("bad"), F.lit(False)) | ~F.col("prev_hash").eqNullSafe(F.lag("hash", 1, genesis).over(along))
-    return chain.withColumn("_wrong", wrong).withColumn("broken_before", F.max("_wrong").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("_wrong")
+    """Chain rows with ``broken_before``: whether a bad line or a wrong link stands at or before the row.
+
+    Each row is joined to the one before it; the first broken place is one number, compared with all.
+    """
+    before = chain.select((F.col("pos") + 1).alias("pos"), F.col("hash").alias("_before"))
+    wrong = F.coalesce(F.col("bad"), F.lit(False)) | ~F.col("prev_hash").eqNullSafe(F.when(F.col("pos") == F.col("_low"), genesis).otherwise(F.col("_before")))
+    low = chain.agg(F.min("pos").alias("_low"))
+    first = chain.crossJoin(F.broadcast(low)).join(before, "pos", "left").filter(wrong).agg(F.min("pos").alias("_first"))  # one row each
+    return chain.crossJoin(F.broadcast(first)).withColumn("broken_before", F.coalesce(F.col("pos") >= F.col("_first"), F.lit(False))).drop("_first")
 
 
 def verified(current: DataFrame, seals: DataFrame, chain: DataFrame | None, genesis: str = GENESIS) -> DataFrame:

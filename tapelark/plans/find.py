@@ -66,13 +66,18 @@ def _narrowed(cond: CellCond, tokens: tuple[int, int] | None) -> CellCond | None
     return None if low > high else CellCond(cond.span, low, high, cond.aggregate, cond.op, cond.value)
 
 
-def cell_matches(series: DataFrame, cond: CellCond) -> DataFrame:
-    """(run_id, address, token, value) of the best matching address of each run."""
+def spanned(series: DataFrame, cond: CellCond) -> DataFrame:
+    """(run_id, address, s): what the condition reads of the series of its addresses, cut out before anything is joined."""
     held = series.filter(cond.span.holds(F.col("kind"), F.col("layer"), F.col("idx")))
+    high = cond.low if cond.aggregate == "VALUE" else MAX_INT - 1 if cond.high is None else cond.high
+    return held.select("run_id", "address", cells.tokens(F.col("series"), cond.low, high).alias("s"))
+
+
+def cell_matches(part: DataFrame, cond: CellCond) -> DataFrame:
+    """(run_id, address, token, value) of the best matching address of each run; ``part`` is of ``spanned``."""
     if cond.aggregate == "VALUE":
-        got = held.select("run_id", "address", F.lit(cond.low).cast("long").alias("token"), F.try_element_at("series", F.lit(cond.low + 1)).cast("double").alias("value"))
+        got = part.select("run_id", "address", F.lit(cond.low).cast("long").alias("token"), F.try_element_at("s", F.lit(1)).cast("double").alias("value"))
     else:
-        part = held.select("run_id", "address", cells.tokens(F.col("series"), cond.low, MAX_INT - 1 if cond.high is None else cond.high).alias("s"))
         part = part.withColumn("f", cells.finite_of(F.col("s")))
         best = F.array_min("f") if cond.aggregate == "MIN" else F.array_max("f")
         value = {"MEAN": cells.array_mean(F.col("f")), "P95": cells.array_quantile(F.col("f"), 0.95)}.get(cond.aggregate, best)
@@ -115,7 +120,8 @@ def find_runs(
         for k, cond in enumerate(conds):
             if cond is None:
                 continue
-            near = series.join(ids, "run_id", "left_semi") if q.runs else series
+            near = spanned(series, cond)
+            near = near.join(ids, "run_id", "left_semi") if q.runs else near
             if hot is not None:
                 open_ = hot.filter(cond.span.holds(F.col("kind"), F.col("layer"), F.col("idx")) & possible(cond)).select("run_id", "address")
                 near = near.join(open_, ["run_id", "address"], "left_semi")

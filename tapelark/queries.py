@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,11 +10,12 @@ from pyspark.sql import functions as F
 
 from tapelark import recorder
 from tapelark import testmap as t
-from tapelark.config import Trigger, band_column, estimate_column
+from tapelark.config import Trigger, band_column, estimate_column, parse_trigger
 from tapelark.config import Window as TokenWindow
-from tapelark.functions import addresses, formats
+from tapelark.functions import addresses, formats, sql
 from tapelark.operators import analytics, compare, frame, gate, hot, report, seal, wal
 from tapelark.plans.find import find_runs
+from tapelark.sources import shared
 from tapelark.streaming import capture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of the embeddings as a store has them: a table in order of address, written once."""
+    return shared.once(spark, (sf_dir, "series-embeddings"), lambda: t.series_embeddings(spark, sf_dir), ("address", "run_id"))
+
+
 def r6(name: str):
     return F.round(F.col(name), 6).alias(name)
 
@@ -57,7 +62,8 @@ FROM v GROUP BY 1, 2"""
 def _pooled_events(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     runs = t.runs_events(spark, sf_dir)
     side = F.when(F.array_contains("tags", "cohort=good"), "good").otherwise("bad")
-    sided = t.series_events(spark, sf_dir).join(runs.select("run_id", side.alias("side")), "run_id")
+    series = shared.once(spark, (sf_dir, "series-events"), lambda: t.series_events(spark, sf_dir), ("address", "run_id"))
+    sided = series.join(runs.select("run_id", side.alias("side")), "run_id")
     out = compare.pooled_by_side(sided, ["address", "side"], 15, 20, limit, above=100.0)
     return out.select("address", "side", "n", "n_values", r6("mean"), r6("p95"), r6("max"), r6("firing_rate"))
 
@@ -76,10 +82,18 @@ def compare_limit_per_group(spark, sf_dir):
 SELECT address, side, count(DISTINCT run_id) AS n, count(v) AS n_values, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.95), 6) AS p95,
  round(avg(CASE WHEN v > 0.1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS firing_rate, false AS empty FROM p GROUP BY 1, 2""")
 def compare_groups(spark, sf_dir):
-    out = compare.compare(t.runs_embeddings(spark, sf_dir), t.series_embeddings(spark, sf_dir), "tag:cohort=good", "tag:cohort=bad", ["N-01-0001..0008"], (5, 9), stats="mean,p95,firing_rate>0.1")
+    out = compare.compare(t.runs_embeddings(spark, sf_dir), _stored(spark, sf_dir), "tag:cohort=good", "tag:cohort=bad", ["N-01-0001..0008"], (5, 9), stats="mean,p95,firing_rate>0.1")
     return out.select("address", "side", "n", "n_values", r6("mean"), r6("p95"), r6("firing_rate"), "empty")
 
 
+@query(f"""WITH {CELLS}, p AS (SELECT address, CASE WHEN run_id % 2 = 0 THEN 'tag:cohort=good' ELSE 'tag:cohort=bad' END AS side, run_id, v FROM c WHERE token_pos BETWEEN 2 AND 6 AND idx BETWEEN 3 AND 5)
+SELECT address, side, count(DISTINCT run_id) AS n, count(v) AS n_values, round(avg(v), 6) AS mean, round(max(v), 6) AS max FROM p GROUP BY 1, 2""")
+def compare_groups_query(spark, sf_dir):
+    text = "COMPARE GROUPS tag:cohort=good, tag:cohort=bad ON N-01-0003..0005 AT tokens 2..6 WITH STATS mean, max"
+    out = compare.compare_query(t.runs_embeddings(spark, sf_dir), _stored(spark, sf_dir), text)
+    return out.select("address", "side", "n", "n_values", r6("mean"), r6("max"))
+
+
 @query("""SELECT CAST(quality AS BIGINT) AS quality, count(*) AS n, round(avg(CAST(length(text) AS DOUBLE)), 6) AS mean, round(quantile_cont(CAST(length(text) AS DOUBLE), 0.95), 6) AS p95
 FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL GROUP BY 1""")
 def compare_quality_documents(spark, sf_dir):
@@ -104,13 +118,13 @@ def histogram_bar(spark, sf_dir):
 @query(f"""WITH {CELLS} SELECT CAST(run_id AS BIGINT) AS run_id, address, count(*) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean,
  round(quantile_cont(v, 0.95), 6) AS p95, round(avg(CASE WHEN v > 0.8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS firing_rate FROM c GROUP BY 1, 2""")
 def hot_index_embeddings(spark, sf_dir):
-    held = hot.build(t.series_embeddings(spark, sf_dir))
+    held = hot.build(_stored(spark, sf_dir))
     return held.select(F.col("run_id").cast("long").alias("run_id"), "address", "n", r6("min"), r6("max"), r6("mean"), r6("p95"), r6("firing_rate"))
 
 
 @query(f"WITH {CELLS} SELECT CAST(run_id AS BIGINT) AS run_id, address, token_pos // 10 AS chunk, round(max(v), 6) AS top FROM c WHERE token_pos < 1280 GROUP BY 1, 2, 3")
 def hot_win10_embeddings(spark, sf_dir):
-    held = hot.build(t.series_embeddings(spark, sf_dir))
+    held = hot.build(_stored(spark, sf_dir))
     each = held.select(F.col("run_id").cast("long").alias("run_id"), "address", F.posexplode("win10").alias("chunk", "top"))
     return each.select("run_id", "address", F.col("chunk").cast("long").alias("chunk"), r6("top"))
 
@@ -119,8 +133,9 @@ def hot_win10_embeddings(spark, sf_dir):
 
 
 def _found(spark: SparkSession, sf_dir: str, text: str, **options) -> DataFrame:
-    series = t.series_embeddings(spark, sf_dir)
-    out = find_runs(t.runs_embeddings(spark, sf_dir), series, hot.build(series), text, None, **options)
+    series = _stored(spark, sf_dir)
+    index = shared.once(spark, (sf_dir, "hot-embeddings"), lambda: hot.build(series), ("address", "run_id"))
+    out = find_runs(t.runs_embeddings(spark, sf_dir), series, index, text, None, **options)
     return out.select(F.col("run").cast("long").alias("run"), "address", "token", r6("value"))
 
 
@@ -163,6 +178,14 @@ def find_not_equal(spark, sf_dir):
     return _found(spark, sf_dir, "N-01-0009 AT token 4 != 0.5")
 
 
+@query("""WITH l AS (SELECT l_orderkey AS run, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem)
+SELECT run, 'N-01-0001' AS address, CAST(0 AS BIGINT) AS token, CAST(q AS DOUBLE) AS value FROM l WHERE k = 1 AND q = 17""")
+def find_equal(spark, sf_dir):
+    series = shared.once(spark, (sf_dir, "series-lineitems"), lambda: t.series_lineitems(spark, sf_dir), ("run_id",))
+    out = find_runs(t.runs_orders(spark, sf_dir), series, hot.build(series), "FIND RUNS WHERE N-01-0001 AT token=0 = 17", None)
+    return out.select(F.col("run").cast("long").alias("run"), "address", F.col("token").cast("long").alias("token"), F.col("value").cast("double").alias("value"))
+
+
 @query(f"""WITH {CELLS}, a AS (SELECT run_id, address, max(v) AS value, arg_min(token_pos, (-v, token_pos)) AS token FROM c WHERE idx BETWEEN 1 AND 64 AND token_pos BETWEEN 10 AND 20 GROUP BY 1, 2),
  h AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, address) AS k FROM a WHERE value > 0.2)
 SELECT CAST(run_id AS BIGINT) AS run, address, token, round(value, 6) AS value FROM h WHERE k = 1""")
@@ -236,7 +259,7 @@ def frame_deep_long(spark, sf_dir):
 def _framed(spark, sf_dir, wanted: list[str], tokens: tuple[int, int]) -> DataFrame:
     from tapelark.functions.cells import known
 
-    runs, series = t.runs_embeddings(spark, sf_dir), t.series_embeddings(spark, sf_dir)
+    runs, series = t.runs_embeddings(spark, sf_dir), _stored(spark, sf_dir)
     out = frame.deep_frame(runs.withColumn("run_id", F.col("run_id").cast("long")), series.withColumn("run_id", F.col("run_id").cast("long")), wanted, tokens)
     value = F.round(known(F.col("value")), 6).alias("value")
     return out.select(F.col("run_id").cast("long").alias("run_id"), F.col("token_pos").cast("long").alias("token_pos"), "token", value, "address", F.col("layer").cast("long").alias("layer"), "watched")
@@ -287,17 +310,17 @@ def gate_window_every_n(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT run_id, token_pos, address, value FROM e WHERE address = 'error'")
 def gate_on_flag(spark, sf_dir):
-    return _gated(spark, sf_dir, _ALL, Trigger("on_flag", flag="bad_output"))
+    return _gated(spark, sf_dir, _ALL, parse_trigger("on_flag:bad_output"))
 
 
 @query(f"WITH {EVENTS} SELECT run_id, token_pos, address, value FROM e WHERE elapsed BETWEEN 3600 AND 864000")
 def gate_time_window(spark, sf_dir):
-    return _gated(spark, sf_dir, _ALL, Trigger("time_window", low=3600, high=864_000))
+    return _gated(spark, sf_dir, _ALL, parse_trigger("window:3600s..864000s"))
 
 
 @query(f"WITH {EVENTS} SELECT run_id, token_pos, address, value FROM e WHERE token_pos BETWEEN 3 AND 9")
 def gate_token_range(spark, sf_dir):
-    return _gated(spark, sf_dir, _ALL, Trigger("token_range", low=3, high=9))
+    return _gated(spark, sf_dir, _ALL, parse_trigger("window:3..9"))
 
 
 @query(f"WITH {EVENTS}, k AS (SELECT DISTINCT run_id, token_pos FROM e WHERE address = 'click' AND value BETWEEN 20 AND 90) SELECT run_id, token_pos, address, value FROM e JOIN k USING (run_id, token_pos)")
@@ -384,6 +407,14 @@ def replay_mode(spark, sf_dir):
     return orders.select(F.col("o_orderkey").alias("run_id"), seal.replay_mode(recorded, now).alias("mode"))
 
 
+@query(f"WITH RECURSIVE {_DOCS} SELECT run_id AS run FROM d WHERE NOT (run_id <> 3 AND pos < 60)")
+def find_hash_fail(spark, sf_dir):
+    """Runs whose seal does not hold; document 3 was changed and the chain is broken at line 60."""
+    runs = t.run_rows(t.documents_of_conversations(spark, sf_dir), "run_id")
+    none = spark.createDataFrame([], "run_id long, address string, kind string, layer int, idx int, series array<float>")
+    return find_runs(runs, none, None, 'flag="hash_fail"', None, verified=_verified(spark, sf_dir)).select("run")
+
+
 # Analytics -----------------------------------------------------------------------------------------
 
 
@@ -398,14 +429,14 @@ def peak_token(spark, sf_dir):
 
 
 @query(f"""WITH {CELLS}, m AS (SELECT run_id, token_pos, max(abs(v)) AS s FROM c GROUP BY 1, 2), p AS (SELECT run_id, arg_min(token_pos, (-s, token_pos)) AS centre FROM m GROUP BY 1),
- w AS (SELECT c.run_id, token_pos, address, v FROM c JOIN p USING (run_id) WHERE abs(token_pos - centre) <= 5 AND idx <= 16),
+ w AS (SELECT c.run_id, token_pos, address, v FROM c JOIN p USING (run_id) WHERE abs(token_pos - centre) <= 5),
  g AS (SELECT x.run_id, x.address AS a, y.address AS b, x.v AS x, y.v AS y FROM w x JOIN w y ON x.run_id = y.run_id AND x.token_pos = y.token_pos AND x.address < y.address),
  n AS (SELECT run_id, a, b, avg(x) AS mx, avg(y) AS my FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 3),
  r AS (SELECT run_id, a, b, sum((x - mx) * (y - my)) / sqrt(sum((x - mx) * (x - mx)) * sum((y - my) * (y - my))) AS r FROM g JOIN n USING (run_id, a, b) GROUP BY 1, 2, 3),
  k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(abs(r), 6) DESC, a DESC, b DESC) AS k FROM r WHERE abs(r) > 0.5)
 SELECT CAST(run_id AS BIGINT) AS run_id, a, b, round(r, 6) AS r FROM k WHERE k <= 5""")
 def cooccurrence_pairs(spark, sf_dir):
-    """The five strongest of all pairs of each run are the feature; the SQL still has the first 16 addresses only."""
+    """The five strongest of all pairs of each run are the feature."""
     long = _long(spark, sf_dir)
     out = analytics.cooccurrence(long)
     return out.select("run_id", "a", "b", r6("r"))
@@ -517,16 +548,42 @@ def fp16_roundtrip(spark, sf_dir):
     return arrays.join(first, ["run_id", "address"], "left").select("run_id", "address", F.size("series").alias("n"), F.get("series", F.lit(0)).alias("value"), "first")
 
 
-@query()
+@query("SELECT doc_id AS run_id, regexp_replace(text, '[0-9]', '#', 'g') AS text, 'custom' AS redactor FROM documents")
 def redactor_udf(spark, sf_dir):
     """Prompts without digits."""
     import re
 
     runs = t.runs_documents(spark, sf_dir).withColumn("versions", F.create_map(F.lit("redactor"), F.lit("none")))
-    out = recorder.redact(runs, lambda text: re.sub(r"\d", "#", text))
+    out = recorder.redact(runs, lambda text: re.sub("[0-9]", "#", text))
     return out.select("run_id", F.col("prompt.text").alias("text"), F.col("versions")["redactor"].alias("redactor"))
 
 
+# Formats and SQL functions ---------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 31744 // 1024 = 0 THEN o_orderkey % 31744 % 1024 * pow(2.0::DOUBLE, -24)
+ ELSE pow(2.0::DOUBLE, o_orderkey % 31744 // 1024 - 15) * (1 + (o_orderkey % 31744 % 1024) / 1024.0::DOUBLE) END AS fp16,
+ CASE WHEN o_orderkey % 32640 // 128 = 0 THEN o_orderkey % 32640 % 128 * pow(2.0::DOUBLE, -133) ELSE pow(2.0::DOUBLE, o_orderkey % 32640 // 128 - 127) * (1 + (o_orderkey % 32640 % 128) / 128.0::DOUBLE) END AS bf16 FROM orders""")
+def half_decode(spark, sf_dir):
+    """Sixteen bits as halves and as brain floats, all finite positive ones."""
+    bits = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 31744).cast("int").alias("h"), (F.col("o_orderkey") % 32640).cast("int").alias("b"))
+    return bits.select("id", formats.half(F.col("h")).cast("double").alias("fp16"), formats.bfloat(F.col("b")).cast("double").alias("bf16"))
+
+
+@query(f"""WITH {CELLS} SELECT CAST(run_id AS BIGINT) AS run_id, address, round(avg(CASE WHEN v > 0.1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS rate, round(avg(v), 6) AS mean FROM c WHERE token_pos BETWEEN 2 AND 11 GROUP BY 1, 2""")
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions, in SQL."""
+    sql.register(spark)
+    cut = _stored(spark, sf_dir).selectExpr("CAST(run_id AS BIGINT) AS run_id", "address", "tokens_of(CAST(series AS ARRAY<DOUBLE>), 2, 11) AS s")
+    return cut.filter("size(s) > 0").selectExpr("run_id", "address", "round(firing_rate(s, 0.1D), 6) AS rate", "round(series_mean(s), 6) AS mean")
+
+
+@query("SELECT 'N-24-' || lpad(CAST(k AS VARCHAR), 4, '0') AS address FROM range(7, 121) x(k) UNION ALL SELECT 'A-01-02' UNION ALL SELECT 'LOGITS' UNION ALL SELECT 'L-' || lpad(CAST(k AS VARCHAR), 2, '0') FROM range(1, 33) x(k)")
+def sql_expand_address(spark, sf_dir):
+    sql.register(spark)
+    return spark.sql("SELECT e.address FROM VALUES ('N-24-0007..0120'), ('A-01-02'), ('LOGITS'), ('L-01..32') AS s(span), LATERAL expand_address(s.span) e")
+
+
 # Streams -------------------------------------------------------------------------------------------
 
 
@@ -538,14 +595,13 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tapelark-')}"
-    return f"{root.rstrip('/')}/tapelark/stream-{uuid.uuid4().hex[:12]}"
+    return f"{shared.folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_rollup(spark, sf_dir):
     """Complete mode: what a stream holds once its source is drained."""
-    out = capture.drained(capture.daily(_stream(spark, sf_dir)), spark, f"daily_{uuid.uuid4().hex[:8]}", "complete", _checkpoint(spark))
+    out = capture.drained(capture.daily(_stream(spark, sf_dir)), "complete", _checkpoint(spark))
     return out.select(F.col("day").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -553,7 +609,7 @@ def stream_daily_rollup(spark, sf_dir):
  s AS (SELECT *, sum(cut) OVER (PARTITION BY run_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT run_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY run_id, k""")
 def stream_session_runs(spark, sf_dir):
-    out = capture.drained(capture.sessions(_stream(spark, sf_dir), gap="6 hours"), spark, f"sessions_{uuid.uuid4().hex[:8]}", "complete", _checkpoint(spark))
+    out = capture.drained(capture.sessions(_stream(spark, sf_dir), gap="6 hours"), "complete", _checkpoint(spark))
     return out.select("run_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "n")
 
 

@@ -7,14 +7,19 @@ import json
 import time
 from collections.abc import Callable
 from datetime import UTC, datetime
+from functools import lru_cache
+from importlib.metadata import PackageNotFoundError, version
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapelark import schema
-from tapelark.config import Trigger, Watchlist, Window, check_tags, parse_trigger, read_watchlist
-from tapelark.sources.store import Store
+from tapelark.config import Watchlist, Window, check_tags, gate, read_watchlist
+from tapelark.errors import BadInput
+from tapelark.functions.formats import json_lines
+from tapelark.sources.store import Store, document, pretty
 
 
 def now_iso() -> str:
@@ -25,6 +30,16 @@ def byte_ids(text: str) -> list[int]:
     return list(text.encode())
 
 
+@lru_cache(1)
+def runtime_versions() -> dict[str, str]:
+    """Versions of what runs the model, from package metadata: nothing is imported, no device is touched."""
+    try:
+        torch = version("torch").split("+")[0]
+    except PackageNotFoundError:
+        torch = "unknown"
+    return {"torch": torch, "cuda": "cpu"}
+
+
 def output_text(value) -> str:
     """Text of what a model gives back: itself, its ``text``, or the first of some usual keys."""
     if isinstance(value, str):
@@ -61,6 +76,8 @@ class Recorder:
 
     def __init__(self, store: Store, watchlist: Watchlist, tags: list[str], model_id: str = "", checkpoint_sha256: str = "", redactor: Callable | None = None) -> None:
         self.store, self.watchlist, self.tags, self.redactor = store, watchlist, check_tags(tags), redactor
+        self.run_ids: list[str] = []
+        self.last: str | None = None
         self.model_id, self.checkpoint, self.rows, self.on = model_id or watchlist.model_id, checkpoint_sha256 or watchlist.checkpoint_sha256, [], True
 
     def __enter__(self) -> Recorder:
@@ -87,7 +104,7 @@ class Recorder:
             out = "" if value is None else output_text(value)
             made = byte_ids(out)
             spent = (time.perf_counter() - began) * 1000
-            versions = {"redactor": "custom" if self.redactor else "none"}
+            versions = runtime_versions() | {"redactor": "custom" if self.redactor else "none"}
             replay = {"seed": seed, "temp": temp, "top_p": top_p, "sampler": sampler, "versions": versions, "checkpoint_sha256": self.checkpoint}
             self.rows.append((
                 None, self.model_id, self.checkpoint, (self.watchlist.watchlist_id, self.watchlist.sha256, None if self.watchlist.patch is None else json.dumps(self.watchlist.patch)),
@@ -101,9 +118,21 @@ class Recorder:
         if rows:
             spark = self.store.spark
             frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], _numbered())
-            self.store.add_runs(self.store.next_numbers(frame, "_k").drop("_k"))
+            numbered = self.store.next_numbers(frame, "_k").drop("_k").cache()
+            self.run_ids = [r.run_id for r in numbered.select("run_id").orderBy("run_id").collect()]
+            self.last = json_lines(numbered.filter(F.col("run_id") == self.run_ids[-1])).head().j
+            self.store.add_runs(numbered)
+            numbered.unpersist()
         return len(rows)
 
+    def save_outer(self, path: str) -> str:
+        """Write the document of the last recorded call as pretty JSON; its path."""
+        self.flush()
+        if self.last is None:
+            raise BadInput("nothing was recorded")
+        Path(path).write_bytes(pretty(document(self.last)))
+        return path
+
 
 def _numbered():
     from pyspark.sql import types as T
@@ -112,10 +141,11 @@ def _numbered():
 
 
 def watch(
-    spark: SparkSession, watchlist: str = "outer_only.yaml", add: list[str] | None = None, window: Window | None = None, trigger: str | dict | Trigger | None = None,
-    precision: str | None = None, tag: list[str] | None = None, store: str | None = None, redactor: Callable | None = None,
+    spark: SparkSession, watchlist: str = "outer_only.yaml", add: list[str] | None = None, window: Window | None = None, trigger: str | dict | None = None,
+    precision: str | None = None, tag: list[str] | None = None, store: str | None = None, redactor: Callable | None = None, force: bool = False, runs: int = 1,
 ) -> Recorder:
-    if isinstance(trigger, str | dict):
-        parse_trigger(trigger)
-    held = read_watchlist(watchlist, add, window, trigger, precision)
-    return Recorder(Store(spark, store), held, tag or [], redactor=redactor)
+    """A recorder, once the watch file has passed the gate: addresses, checkpoint and size, against the manifest of its model if the store has one."""
+    check_tags(tag or [])
+    held, at = read_watchlist(watchlist, add, window, trigger, precision), Store(spark, store)
+    gate(spark, held, at.manifest(held.model_id, held.checkpoint_sha256), runs, force)
+    return Recorder(at, held, tag or [], redactor=redactor)

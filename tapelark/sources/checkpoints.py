@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapelark import schema
-from tapelark.errors import BadInput
+from tapelark.errors import AlreadyThere, BadInput
 
 #: Names that configurations use for the same number.
 ALIASES = {
@@ -72,5 +72,23 @@ def with_manifest(runs: DataFrame, manifests: DataFrame) -> DataFrame:
     return runs.join(one.select(*keys, "m.layers", "m.hidden", "m.heads", "m.mlp", "m.vocab"), keys, "left")
 
 
-#: How families lay out their weights; all are the same container.
-FAMILIES = {"llama": "row_major_float16", "mistral": "row_major_float16"}
+def record(store, weights_path: str | None = None, api_model_id: str | None = None, force: bool = False):
+    """Scan a checkpoint (or take an API model's name) and add its manifest to a store; the manifest's row."""
+    if not api_model_id and not weights_path:
+        raise BadInput("a folder of weights or the name of an API model is needed")
+    rows = api_model(store.spark, api_model_id) if api_model_id else manifest(store.spark, weights_path)
+    row = rows.head()
+    known = store.table("manifests").filter((F.col("model_id") == row.model_id) & (F.col("checkpoint_sha256") == row.checkpoint_sha256))
+    if not known.isEmpty() and not force:
+        raise AlreadyThere(f"{row.model_id} has a manifest; force writes another")
+    rows.write.mode("append").parquet(store.where("manifests"))
+    return row
+
+
+def adapters(spark: SparkSession, pattern: str) -> DataFrame:
+    """Layout descriptors of model families (JSON files) as a table: how matrices lie, how cells are addressed, sizes of a usual model."""
+    size = "layers int, hidden int, heads int, mlp_per_layer int, vocab int"
+    naming = "layer string, attention_head string, mlp_neuron string, specials array<string>"
+    kind = f"family string, layout string, `order` string, endian string, dtypes array<string>, addressing struct<{naming}>, reference_arch struct<{size}>"
+    held = spark.read.text(pattern, wholetext=True).select(F.from_json("value", kind).alias("d")).filter("d.family IS NOT NULL").select("d.*")
+    return held.withColumnRenamed("order", "row_order")

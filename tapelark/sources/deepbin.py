@@ -60,6 +60,26 @@ def matrices(series: DataFrame, watched: DataFrame, dtype: str = "fp16") -> Data
     return rows.mapInPandas(run, "run_id string, content binary")
 
 
+def index_document(run_id: str, watched: list[str], tokens: int, dtype: str = "fp16", every_n: int = 1, window: dict | None = None) -> dict:
+    """deep_index.json of a run; without tokens that of a run that never armed, which has no matrix."""
+    if dtype not in BYTES:
+        raise BadInput(f"bad dtype {dtype!r}; of {', '.join(BYTES)}")
+    if every_n < 1:
+        raise BadInput(f"every_n is at least 1, not {every_n}")
+    columns = {a: {"offset": k, "dtype": dtype, "shape": [tokens]} for k, a in enumerate(watched)} if tokens else {}
+    meta = {"stored": dtype, "source": "logical_values", "endian": "little", "order": "row_major_token_major"}
+    return {
+        "run_id": run_id, "triggered": tokens > 0, "dtype": dtype, "tokens": tokens, "every_n": every_n, "window": window, "watched": watched, "columns": columns, "dtype_meta": meta,
+    }
+
+
+def deep_files(series: DataFrame, dtype: str = "fp16") -> DataFrame:
+    """(run_id, content, watched, tokens): matrix and columns of each run that has series, addresses in the order of the model."""
+    order = F.array_sort(F.collect_list(F.struct("kind", "layer", "idx", "address")))
+    watched = series.groupBy("run_id").agg(order.alias("o"), F.max(F.size("series")).alias("tokens")).select("run_id", F.col("o.address").alias("watched"), "tokens")
+    return matrices(series.select("run_id", "address", "series"), watched.select("run_id", "watched"), dtype).join(watched, "run_id")
+
+
 class DeepBinSource(DataSource):
     """``spark.read.format("deepbin").option("path", ...).option("width", W).option("dtype", ...)``: (tok, col, value).
 

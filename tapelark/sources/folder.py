@@ -83,8 +83,9 @@ def chain(spark: SparkSession, path: str) -> DataFrame | None:
     """Rows of the chain in order of lines; a line that is not JSON is a ``bad`` row. None if there is no chain."""
     if not _exists(spark, f"{path}/chain.jsonl"):
         return None
-    lines = spark.read.text(f"{path}/chain.jsonl", wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "t"))
-    parsed = lines.filter(F.trim("t") != "").withColumn("d", F.from_json("t", "run_id string, hash string, prev_hash string"))
+    filled = F.filter(F.split("value", "\n"), lambda t: F.trim(t) != "")
+    lines = spark.read.text(f"{path}/chain.jsonl", wholetext=True).select(F.posexplode(filled).alias("pos", "t"))
+    parsed = lines.withColumn("d", F.from_json("t", "run_id string, hash string, prev_hash string"))
     return parsed.select(F.col("pos").cast("long").alias("pos"), "d.*", F.try_parse_json("t").isNull().alias("bad"))
 
 

@@ -15,7 +15,7 @@ from tapelark.functions.formats import canonical_json, json_lines
 from tapelark.operators import hot as hot_ops
 from tapelark.operators import seal as seal_ops
 from tapelark.operators import wal as wal_ops
-from tapelark.sources import folder
+from tapelark.sources import deepbin, folder, shared
 
 TABLES = {"runs": schema.RUN, "series": schema.SERIES, "seals": schema.SEAL, "manifests": schema.MANIFEST}
 HOT_ROWS_PER_FILE = 10_000
@@ -42,6 +42,12 @@ class Store:
         reader = self.spark.read if kind is None else self.spark.read.schema(kind)
         return reader.parquet(self.where(name))
 
+    def manifest(self, model_id: str, checkpoint_sha256: str = "") -> dict | None:
+        """The manifest that a watch file of this model is held against: of its checkpoint if there is one, else of another."""
+        own = self.table("manifests").filter((F.col("model_id") == model_id) & F.col("layers").isNotNull())
+        row = own.orderBy((F.col("checkpoint_sha256") == checkpoint_sha256).desc(), "checkpoint_sha256").head() if model_id else None
+        return row.asDict() if row else None
+
     def next_numbers(self, rows: DataFrame, order: str) -> DataFrame:
         """``rows`` with new run ids, after the highest of runs and chain, in ``order``."""
         seen = self.table("runs").select("run_id").union(self.table("chain").select("run_id"))
@@ -66,16 +72,17 @@ class Store:
         known = self.table("hot").select("run_id", "address")
         hot_ops.build(self.table("series").join(known, ["run_id", "address"], "left_anti")).write.mode("append").option("maxRecordsPerFile", HOT_ROWS_PER_FILE).parquet(self.where("hot"))
 
-    def fingerprints(self) -> DataFrame:
-        """(run_id, sha_outer, sha_deep, replay) of the tables' rows as they are now.
+    def fingerprints(self, run_id: str | None = None) -> DataFrame:
+        """(run_id, sha_outer, sha_deep, replay) of the tables' rows as they are now, of all runs or one.
 
         The document's hash is that of its JSON with fields in order; a matrix's is that of its addresses
         and values, in order of address.
         """
-        runs = self.table("runs")
+        own = F.lit(True) if run_id is None else F.col("run_id") == run_id
+        runs = self.table("runs").filter(own)
         outer = runs.select("run_id", F.sha2(F.to_json(F.struct(*schema.RUN.names)), 256).alias("sha_outer"), canonical_json("replay").alias("replay"))
         one = F.sha2(F.concat_ws(",", "address", F.concat_ws(",", F.transform("series", lambda x: x.cast("string")))), 256)
-        each = self.table("series").select("run_id", "address", one.alias("h"))
+        each = self.table("series").filter(own).select("run_id", "address", one.alias("h"))
         deep = each.groupBy("run_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "address", "h"))), ","), 256).alias("sha_deep"))
         return outer.join(deep, "run_id", "left")
 
@@ -83,19 +90,18 @@ class Store:
         """Chain the runs that are not sealed, in order of id; one writer at a time."""
         new = wal_ops.open_rows(self.fingerprints(), self.table("seals"))
         last = self.table("chain").agg(F.max_by("hash", "pos").alias("h"), F.max("pos").alias("p")).first()
-        links = seal_ops.sealed(new, "run_id", last.h or seal_ops.GENESIS).cache()
-        n = links.count()
-        if n:
-            start = 0 if last.p is None else last.p + 1
-            now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-            rows = links.select("run_id", "hash", "prev_hash", "sha_outer", "sha_deep", F.lit(seal_ops.ALGORITHM).alias("algorithm"), F.lit(sealed_by).alias("sealed_by"), now.alias("sealed_at_iso"))
-            rows.coalesce(1).write.mode("append").parquet(self.where("seals"))
-            links.select((F.col("pos") + F.lit(start)).alias("pos"), "run_id", "hash", "prev_hash", F.lit(False).alias("bad")).coalesce(1).write.mode("append").parquet(self.where("chain"))
-        links.unpersist()
+        with shared.written(seal_ops.sealed(new, "run_id", last.h or seal_ops.GENESIS), "links") as links:
+            n = links.count()
+            if n:
+                start = 0 if last.p is None else last.p + 1
+                now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+                rows = links.select("run_id", "hash", "prev_hash", "sha_outer", "sha_deep", F.lit(seal_ops.ALGORITHM).alias("algorithm"), F.lit(sealed_by).alias("sealed_by"), now.alias("sealed_at_iso"))
+                rows.coalesce(1).write.mode("append").parquet(self.where("seals"))
+                links.select((F.col("pos") + F.lit(start)).alias("pos"), "run_id", "hash", "prev_hash", F.lit(False).alias("bad")).coalesce(1).write.mode("append").parquet(self.where("chain"))
         return n
 
-    def verified(self) -> DataFrame:
-        return seal_ops.verified(self.fingerprints(), self.table("seals"), self.table("chain") if self.has("chain") else None)
+    def verified(self, run_id: str | None = None) -> DataFrame:
+        return seal_ops.verified(self.fingerprints(run_id), self.table("seals"), self.table("chain") if self.has("chain") else None)
 
     def ingest(self, path: str) -> None:
         """Take over the runs of a folder of recorded runs that are not here yet."""
@@ -111,39 +117,62 @@ class Store:
         doc = F.length(F.encode(F.to_json(F.struct(*schema.RUN.names)), "UTF-8")).cast("long")
         return runs.select("run_id", "model_id", "checkpoint_sha256", doc.alias("hot_bytes")).join(cold, "run_id", "left").withColumn("cold_bytes", F.coalesce("cold_bytes", F.lit(0)))
 
+    def verify_run(self, run_id: str) -> bool:
+        """Whether one run's seal holds: its own files are hashed, and the chain is read up to it."""
+        return not self.verified(run_id).filter("ok").isEmpty()
+
     def export(self, run_id: str, out: str, with_manifest: bool = False, with_index: bool = False) -> list[str]:
-        """A flat zip of one run: document, seal, series and, if asked for, manifest and hot rows."""
+        """A flat zip of one run: outer.json, seal.json, and if it has series deep.bin and deep_index.json.
+
+        ``with_index`` adds the index of a run without series, ``with_manifest`` its model's manifest.
+        """
         run = self.table("runs").filter(F.col("run_id") == run_id)
         first = json_lines(run).head()
         if first is None:
             raise NotFound(f"{run_id} not found")
-        names = []
-        of = lambda t: self.table(t).filter(F.col("run_id") == run_id)
+        files: dict[str, bytes] = {"outer.json": pretty(document(first.j))}
+        for r in json_lines(self.table("seals").filter(F.col("run_id") == run_id)).take(1):
+            files["seal.json"] = pretty(json.loads(r.j))
+        deep = deepbin.deep_files(self.table("series").filter(F.col("run_id") == run_id)).head()
+        if deep is not None:
+            files["deep.bin"] = bytes(deep.content)
+        if deep is not None or with_index:
+            files["deep_index.json"] = pretty(deepbin.index_document(run_id, list(deep.watched) if deep else [], deep.tokens if deep else 0))
+        if with_manifest:
+            own = self.table("manifests").join(run.select("model_id", "checkpoint_sha256"), ["model_id", "checkpoint_sha256"])
+            files |= {"manifest.json": pretty(json.loads(r.j)) for r in json_lines(own).take(1)}
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, raw in files.items():
+                z.writestr(name, raw)
+        return list(files)
+
+
+def pretty(doc: dict) -> bytes:
+    """JSON as documents of runs are written: sorted keys, two spaces, a line end."""
+    return (json.dumps(doc, sort_keys=True, indent=2) + "\n").encode()
+
+
+def document(line: str) -> dict:
+    """A run's document from its row as JSON: what is kept as JSON text becomes what it spells."""
+    doc = json.loads(line)
+    if isinstance(doc.get("replay"), str):
+        doc["replay"] = json.loads(doc["replay"])
+    patch = (doc.get("watchlist_ref") or {}).get("patch")
+    if isinstance(patch, str):
+        doc["watchlist_ref"]["patch"] = json.loads(patch)
+    return doc
+
 
-            def put(name: str, lines) -> None:
-                with z.open(name, "w") as f:
-                    for line in lines:
-                        f.write((line + "\n").encode())
-                names.append(name)
-
-            put("outer.json", [json.dumps(json.loads(first.j), sort_keys=True, indent=2)])
-            put("seal.json", (r.j for r in json_lines(of("seals")).take(1)))
-            put("series.jsonl", (r.j for r in json_lines(of("series").orderBy("address")).toLocalIterator()))
-            if with_index:
-                put("hot.jsonl", (r.j for r in json_lines(of("hot").orderBy("address")).toLocalIterator()))
-            if with_manifest:
-                own = self.table("manifests").join(run.select("model_id", "checkpoint_sha256"), ["model_id", "checkpoint_sha256"])
-                put("manifest.json", (r.j for r in json_lines(own).take(1)))
-        return names
-
-
-def write_folder(runs: DataFrame, path: str) -> None:
-    """outer.json of each run, pretty and with sorted keys, on a local folder; for small exports and tests."""
+def write_folder(runs: DataFrame, path: str, series: DataFrame | None = None, dtype: str = "fp16") -> None:
+    """Runs as a local folder of recorded runs, one at a time: outer.json, deep_index.json and, where there are series, deep.bin."""
     for row in json_lines(runs).toLocalIterator():
-        doc = json.loads(row.j)
-        if isinstance(doc.get("replay"), str):
-            doc["replay"] = json.loads(doc["replay"])
+        doc = document(row.j)
         where = Path(path) / "runs" / doc["run_id"]
         where.mkdir(parents=True, exist_ok=True)
-        (where / "outer.json").write_text(json.dumps(doc, sort_keys=True, indent=2) + "\n")
+        (where / "outer.json").write_bytes(pretty(doc))
+        (where / "deep_index.json").write_bytes(pretty(deepbin.index_document(doc["run_id"], [], 0, dtype)))
+    if series is not None:
+        for row in deepbin.deep_files(series, dtype).toLocalIterator():
+            where = Path(path) / "runs" / row.run_id
+            (where / "deep.bin").write_bytes(bytes(row.content))
+            (where / "deep_index.json").write_bytes(pretty(deepbin.index_document(row.run_id, list(row.watched), row.tokens, dtype)))

@@ -29,15 +29,15 @@ def gated(stream: DataFrame, window: Window, trigger: Trigger) -> DataFrame:
 
 
 def to_log(stream: DataFrame, log: str, checkpoint: str, seals: DataFrame | None = None) -> StreamingQuery:
-    """Append the stream to a Parquet log, micro-batch by micro-batch, with ``seq`` in order of arrival.
+    """Append the stream to a Parquet log, micro-batch by micro-batch, with ``seq`` (batch, row) in order of arrival.
 
     A batch that is run again after a crash overwrites its own folder, so that no row is there twice.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         held = batch if seals is None else batch.join(seals.select("run_id"), "run_id", "left_anti")
-        seq = F.lit(number).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id() % F.lit(1 << 40)
-        held.withColumn("seq", seq).write.mode("overwrite").parquet(f"{log}/batch={number}")
+        # Batch, then partition and row: 2^33 rows of a partition in the low bits, as Spark numbers them.
+        held.withColumn("seq", F.struct(F.lit(number).cast("long").alias("batch"), F.monotonically_increasing_id().alias("row"))).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -52,7 +52,7 @@ def progress(spark: SparkSession, log: str) -> DataFrame:
 
 
 def finalised(stream: DataFrame, idle: str = "10 minutes", lateness: str = "5 minutes") -> DataFrame:
-    """(run_id, tokens, values, n, overflow): a run's rows in token order once nothing came for ``idle``.
+    """(run_id, tokens, values, n): a run's rows in token order once nothing came for ``idle``.
 
     ``stream`` has run_id, token, value and ``ts``. A token that comes twice keeps its last value; rows
     later than the watermark are dropped, as their run may be sealed.
@@ -93,8 +93,15 @@ def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour
     return out.select("run_id", F.col("w.start").alias("started"), F.col("last").alias("ended"), "n")
 
 
-def drained(stream: DataFrame, spark: SparkSession, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what its source has now, into a table in memory; for tests and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+def drained(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what its source has now; its result is written by the executors to ``folder`` and read from there.
+
+    In complete mode a micro-batch has the whole result and takes the place of the one before, in append mode
+    each has a folder of its own; one that is run again after a crash overwrites its own.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*").drop("batch")

@@ -65,6 +65,12 @@ def series_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("run_id", "address", F.lit("N").alias("kind"), F.lit(1).alias("layer"), "idx", F.col("p.value").alias("series"))
 
 
+def series_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's lines as tokens, their quantities as the values of one cell."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("float").alias("q")))).alias("c"))
+    return lines.select("run_id", F.lit("N-01-0001").alias("address"), F.lit("N").alias("kind"), F.lit(1).alias("layer"), F.lit(1).alias("idx"), F.col("c.q").alias("series"))
+
+
 def runs_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "embeddings").select("label").distinct()
     return run_rows(labels, "label", prompt=F.concat(F.lit("label "), F.col("label").cast("string")), tags=F.array(F.when(F.col("label") % 2 == 0, "cohort=good").otherwise("cohort=bad")))

@@ -79,9 +79,15 @@ def test_presets(spark):
 def test_triggers():
     assert config.parse_trigger(None) == Trigger()
     assert config.parse_trigger("on_flag:bad_output") == config.parse_trigger({"on_flag": "bad_output"})
-    assert config.parse_trigger("window:1..2.5") == config.parse_trigger({"window": {"after_s": 1, "until_s": 2.5}}) == Trigger("time_window", low=1, high=2.5)
-    assert config.parse_trigger("gate:A-01-01:0.2..0.9").address == "A-01-01"
-    for bad in ("sometimes", "window:3..1", {"a": 1, "b": 2}, "gate:X:1..2"):
+    assert config.parse_trigger("window:1s..2.5s") == config.parse_trigger({"window": {"after_s": 1, "until_s": 2.5}}) == Trigger("time_window", low=1, high=2.5)
+    assert config.parse_trigger("window:10..50") == Trigger("token_range", low=10, high=50)
+    assert config.parse_trigger({"address": "A-01-01", "lo": 0.2, "hi": 0.9}) == Trigger("address_gate", address="A-01-01", low=0.2, high=0.9)
+    for spec in ("always", "on_flag:x", "window:5s..10s", "window:10..50", {"address": "LOGITS", "lo": 0.5, "hi": 2.0}):
+        assert config.trigger_text(config.parse_trigger(spec)) == spec
+    for bad in (
+        "sometimes", "window:3..1", "window:3s..1s", "window:1..2.5", "window:1s..2", "on_flag:", "tokens:1..2", {"a": 1, "b": 2}, {"on_flag": 1}, {"window": {"after_s": 1}}, {"window": {"after_s": -1, "until_s": 2}},
+        {"address": "LOGITS", "lo": 2, "hi": 1}, {"address": "LOGITS", "lo": "x", "hi": 1}, {"address": "X", "lo": 0, "hi": 1}, {"address": "LOGITS", "lo": 1}, 5, ["always"],
+    ):
         with pytest.raises((BadInput, BadAddress)):
             config.parse_trigger(bad)
 
@@ -116,5 +122,7 @@ def test_watch_files(spark, tmp_path):
     with pytest.raises(TooLarge):
         config.gate(spark, w, manifest, 100_000)
     assert config.gate(spark, w, manifest, 100_000, force=True)["band"] == "RED"
-    with pytest.raises(BadInput):
+    with pytest.raises(BadAddress):
         config.gate(spark, w, manifest | {"checkpoint_sha256": "other"}, 1)
+    with pytest.raises(BadAddress):
+        config.gate(spark, config.read_watchlist(str(tmp_path / "own.yaml"), add=["N-40-0001"]), manifest, 1)

@@ -3,17 +3,20 @@
 import hashlib
 import json
 import struct
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tapelark import cli, recorder, schema, viewer
-from tapelark.errors import AlreadyThere, BadInput
+from tapelark.errors import AlreadyThere, BadAddress, BadInput, TooLarge
 from tapelark.functions import formats
-from tapelark.operators import seal
+from tapelark.operators import hot, seal
+from tapelark.operators.frame import to_dataframe
 from tapelark.plans.find import find_runs
-from tapelark.sources import checkpoints, deepbin, folder
+from tapelark.sources import checkpoints, deepbin, folder, shared
+from tapelark.sources import store as store_mod
 from tapelark.sources.store import Store
 from tapelark.streaming import capture
 
@@ -106,7 +109,7 @@ def test_matrix_files(spark, tmp_path):
     spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
 
-def test_store(spark, recorded, tmp_path):
+def test_store(spark, recorded, tmp_path, capsys):
     store = Store(spark, str(tmp_path / "store"))
     store.ingest(str(recorded))
     store.ingest(str(recorded))
@@ -121,7 +124,20 @@ def test_store(spark, recorded, tmp_path):
     assert sorted(r.run_id for r in more.collect()) == ["RUN-000004", "RUN-000005"]
     store.index(rebuild=True)
     names = store.export("RUN-000001", str(tmp_path / "x.zip"), with_index=True)
-    assert names == ["outer.json", "seal.json", "series.jsonl", "hot.jsonl"]
+    assert names == ["outer.json", "seal.json", "deep.bin", "deep_index.json"] and store.export("RUN-000003", str(tmp_path / "z.zip")) == ["outer.json", "seal.json"]
+    assert store.export("RUN-000003", str(tmp_path / "z.zip"), with_index=True)[2:] == ["deep_index.json"]
+    with zipfile.ZipFile(tmp_path / "x.zip") as z:
+        index, raw = json.loads(z.read("deep_index.json")), z.read("deep.bin")
+        assert json.loads(z.read("outer.json"))["replay"] == {"seed": 1, "temp": 0.0, "versions": {"torch": "2"}}
+    assert index["watched"] == ["A-02-01", "LOGITS", "N-02-0001", "N-02-0002"] and index["columns"]["LOGITS"] == {"offset": 1, "dtype": "fp16", "shape": [20]}
+    want = {r.address: list(r.series) for r in store.table("series").filter("run_id = 'RUN-000001'").collect()}
+    assert formats.decode_matrix(raw, "fp16", 4).T.tolist() == [want[a] for a in index["watched"]]
+    # back to a folder of recorded runs, and in again
+    store_mod.write_folder(store.table("runs"), str(tmp_path / "back"), store.table("series"))
+    again = folder.series(spark, str(tmp_path / "back"))
+    assert again.exceptAll(store.table("series").select(again.columns)).isEmpty() and again.count() == 8
+    assert {r.run_id: r.triggered for r in folder.deep_index(spark, str(tmp_path / "back")).collect()} == {"RUN-000001": True, "RUN-000002": True, "RUN-000003": False}
+    assert store.verify_run("RUN-000002") and not store.verify_run("RUN-000009")
 
     def run(*argv):
         return cli.main(["--store", store.path, *argv], spark)
@@ -132,14 +148,26 @@ def test_store(spark, recorded, tmp_path):
     assert run("verify", "--all") == 0 and run("verify", "RUN-000009") == 6 and run("verify", "RUN-000001", "RUN-000009", "--json") == 7
     assert run("view", "RUN-000001", "--json") == 0 and run("view", "RUN-000002", "--export-html", str(tmp_path / "v.html")) == 0
     page = (tmp_path / "v.html").read_text()
-    assert "seal verified" in page and "<script src" not in page and len(page) < 200_000
+    assert "seal verified" in page and "hello 2" in page and "<script src" not in page and len(page) < 200_000
+    capsys.readouterr()
+    assert run("view", "RUN-000002", "--tokens", "0..9", "--addrs", "N-02-0001,N-02-0009", "--no-color") == 0
+    out = capsys.readouterr().out
+    assert "model=M" in out and "(W=4)" in out and "RUN-000002 VERIFIED" in out and 'PROMPT (1 tokens): "hello 2"' in out and "#3 " in out and "t9" in out and "--" in out and 'OUTPUT: "x"' in out
+    assert run("view", "RUN-000002", "--tokens", "17..17", "--addrs", "N-02-0001,N-02-0009", "--json") == 0
+    doc = json.loads(capsys.readouterr().out)
+    assert doc["hash_seal_verified"] is True and doc["tokens"] == [{"pos": 17, "text": "t17", "values": {"N-02-0001": pytest.approx(0.9, abs=1e-3), "N-02-0009": None, "_note": "not_watched"}}]
+    assert run("view", "RUN-000003", "--no-color") == 0 and "Outer-only run" in capsys.readouterr().out
+    assert run("view", "RUN-000002", "--tokens", "9..3") == 2 and run("view", "RUN-000002", "--port", "80") == 2
     assert run("size", "--by-model") == 0 and run("size", "--by-run", "--json") == 0 and run("export", "--run", "RUN-000001", "--out", str(tmp_path / "y.zip")) == 0
     assert run("export", "--run", "RUN-000009") == 6
     watch = tmp_path / "w.yaml"
     watch.write_text("version: 1\nentries:\n  - addresses: [LOGITS]\n")
     assert run("run", "--watch", str(watch), "--limit", "10", "--dry-run") == 0 and run("run", "--watch", str(watch), "--limit", "0") == 2
     watch.write_text("version: 1\nentries:\n  - preset: mid-mlp-wide\n")
-    assert run("run", "--watch", str(watch), "--limit", "1000000") == 5
+    assert run("run", "--watch", str(watch), "--limit", "1000000") == 5 and run("run", "--watch", str(watch), "--trigger", "window:1..2.5") == 2
+    assert run("run", "--watch", "outer_only.yaml", "--tag", "k=v", "--seed", "7") == 0
+    assert store.verify_run("RUN-000004") and json.loads(store.table("runs").filter("run_id = 'RUN-000004'").first().replay)["seed"] == 7
+    assert run("run", "--watch", "outer_only.yaml", "--dry-run") == 0 and store.table("runs").count() == 4
     assert set(cli.COMMANDS) == {"scan", "run", "find", "compare", "verify", "view", "size", "export"}
 
 
@@ -190,14 +218,63 @@ def test_streams(spark, tmp_path):
     later.select("run_id", "token", "value", F.to_timestamp("t").alias("ts")).coalesce(1).write.mode("append").parquet(src)
     capture.to_log(capture.rows(spark, src, first.schema, 1).withColumn("values", F.array("value")), log, state, sealed).awaitTermination()
     assert capture.progress(spark, log).filter("run_id = 'a'").first().rows == 7
-    done = capture.drained(capture.finalised(capture.rows(spark, src, first.schema, 1), "1 minute", "10 seconds"), spark, "done", "append", str(tmp_path / "state2"))
+    done = capture.drained(capture.finalised(capture.rows(spark, src, first.schema, 1), "1 minute", "10 seconds"), "append", str(tmp_path / "state2"))
     got = {r.run_id: r.tokens for r in done.collect()}
     assert got["b"] == [0] and got["a"][:6] == [0, 1, 2, 3, 4, 5]
 
 
-def test_view_text(spark):
-    rows = [("r", t, str(t), float(t), "A-01-01", 1, True, None) for t in range(3)]
-    f = spark.createDataFrame(rows, "run_id string, token_pos int, token string, value float, address string, layer int, watched boolean, hash_seal_verified boolean")
-    assert viewer.format_table(f, ["A-01-01"]).splitlines()[0].split() == ["token", "A-01-01"]
-    assert json.loads(viewer.to_json(f))["tokens"][2]["values"] == {"A-01-01": 2.0}
+def test_recorder_under_a_watch_file(spark, tmp_path):
+    """The gate comes first; what was recorded can be saved, and names its versions."""
+    where = str(tmp_path / "s")
+    (tmp_path / "w.yaml").write_text("version: 1\nmodel_id: M\ncheckpoint_sha256: ab\nentries:\n  - preset: attention_only\n")
+    Store(spark, where).table("manifests").limit(0).write.parquet(f"{where}/manifests")
+    spark.createDataFrame([("M", "M", "cd", 32, 64, 32, 128, 10, "full")], schema.MANIFEST).write.mode("append").parquet(f"{where}/manifests")
+    with pytest.raises(BadAddress):
+        recorder.watch(spark, str(tmp_path / "w.yaml"), store=where)
+    spark.createDataFrame([("M", "M", "ab", 32, 64, 32, 128, 10, "full")], schema.MANIFEST).write.mode("append").parquet(f"{where}/manifests")
+    with pytest.raises(TooLarge):
+        recorder.watch(spark, str(tmp_path / "w.yaml"), store=where, runs=100_000_000)
+    with recorder.watch(spark, str(tmp_path / "w.yaml"), store=where, runs=100_000_000, force=True) as r:
+        r.call(lambda p: p, "hi", seed=3)
+    doc = json.loads((tmp_path / "s" / "last.json").read_text()) if r.save_outer(f"{where}/last.json") else {}
+    assert r.run_ids == ["RUN-000001"] and doc["run_id"] == "RUN-000001" and doc["replay"]["seed"] == 3 and set(doc["versions"]) == {"torch", "cuda", "redactor"}
+
+
+def test_adapters(spark, tmp_path):
+    doc = {"family": "f", "layout": "row_major_float16", "order": "row_major_token_major", "endian": "little", "dtypes": ["fp16"], "addressing": {"layer": "L-{LL:02d}", "specials": ["NORM"]}, "reference_arch": {"layers": 2, "hidden": 3, "heads": 4, "mlp_per_layer": 5, "vocab": 6}}
+    (tmp_path / "f.json").write_text(json.dumps(doc))
+    (tmp_path / "g.json").write_text("not json")
+    [row] = checkpoints.adapters(spark, str(tmp_path / "*.json")).collect()
+    assert (row.family, row.row_order, row.addressing.specials, row.reference_arch.mlp_per_layer) == ("f", "row_major_token_major", ["NORM"], 5)
+
+
+def test_exact_checks_that_raise(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", None), ("c", 0.5)], "run_id string, value double")
+    assert [r.run_id for r in hot.exact(rows, lambda r: r["value"] > 0.7).collect()] == ["a"]
+
+
+def test_frame_addresses_are_checked(spark, recorded):
+    runs, series = folder.outer(spark, str(recorded)), folder.series(spark, str(recorded))
+    frame = to_dataframe(runs, series, "RUN-000001", tokens=(0, 1))
+    assert [r.address for r in frame.collect()] == ["A-02-01", "LOGITS", "N-02-0001", "N-02-0002"] * 2
+    with pytest.raises(BadAddress):
+        to_dataframe(runs, series, "RUN-000001", addresses=["N-99-0001"], manifest={"layers": 32, "heads": 32, "mlp": 100})
+
+
+def test_shared_folder_needs_a_name_off_the_local_master(spark, monkeypatch):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(BadInput):
+        shared.folder(Elsewhere)
+    assert shared.folder(spark).endswith("/tapelark")
+
+
+def test_view_text():
+    run = {"run_id": "r", "model_id": "M", "output": {"text": "out", "tokens": [5]}}
+    rows = [{"pos": k, "text": f"t{k}", "values": {"A-01-01": float(k), "LOGITS": None, "_note": "not_watched"}} for k in range(3)]
+    text = viewer.format_table(run, rows, ["A-01-01", "LOGITS"], False, 1, color=False)
+    assert "FAIL" in text and "2.00" in text and "--" in text and "\033" not in text and "\033[31m" in viewer.format_table(run, rows, ["A-01-01"], False, 1)
+    assert json.loads(viewer.to_json(run, rows, True))["tokens"][2]["values"]["A-01-01"] == 2.0
     assert schema.SERIES.names[-1] == "series"
