@@ -11,16 +11,15 @@ FUNCTIONS = (
     ("series_mean(series ARRAY<DOUBLE>)", "DOUBLE", f"aggregate({_FINITE}, named_struct('n', 0D, 's', 0D), (a, x) -> named_struct('n', a.n + 1, 's', a.s + x), a -> a.s / nullif(a.n, 0))"),
     ("tokens_of(series ARRAY<DOUBLE>, low INT, high INT)", "ARRAY<DOUBLE>", "slice(series, greatest(low, 0) + 1, greatest(high - greatest(low, 0) + 1, 0))"),
     (
-        "expand_address(span STRING)", "TABLE (address STRING)",
-        "SELECT coalesce(concat(p, lpad(cast(k AS STRING), w, '0')), span) FROM (SELECT span, nullif(regexp_extract(span, '^(.+-)[0-9]+(?:[.][.][0-9]+)?$', 1), '') AS p,"
-        " length(regexp_extract(span, '-([0-9]+)(?:[.][.][0-9]+)?$', 1)) AS w, explode_outer(sequence(try_cast(regexp_extract(span, '-([0-9]+)(?:[.][.][0-9]+)?$', 1) AS INT),"
-        " try_cast(coalesce(nullif(regexp_extract(span, '[.][.]([0-9]+)$', 1), ''), regexp_extract(span, '-([0-9]+)$', 1)) AS INT))) AS k)",
+        "expand_address(span STRING)", "ARRAY<STRING>",
+        "if(span RLIKE '^.+-[0-9]+([.][.][0-9]+)?$', transform(sequence(CAST(regexp_extract(span, '-([0-9]+)([.][.][0-9]+)?$', 1) AS INT), CAST(regexp_extract(span, '([0-9]+)$', 1) AS INT)),"
+        " k -> concat(regexp_extract(span, '^(.+-)[0-9]+([.][.][0-9]+)?$', 1), lpad(CAST(k AS STRING), length(regexp_extract(span, '-([0-9]+)([.][.][0-9]+)?$', 1)), '0'))), array(span))",
     ),
 )
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Make the functions known to the session; their names. ``expand_address`` is a table function."""
+    """Make the functions known to the session; their names."""
     for name, kind, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURNS {kind} RETURN {body}")
     return [name.partition("(")[0] for name, _, _ in FUNCTIONS]

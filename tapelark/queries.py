@@ -178,7 +178,7 @@ def find_not_equal(spark, sf_dir):
     return _found(spark, sf_dir, "N-01-0009 AT token 4 != 0.5")
 
 
-@query("""WITH l AS (SELECT l_orderkey AS run, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem)
+@query("""WITH l AS (SELECT l_orderkey AS run, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS k FROM lineitem)
 SELECT run, 'N-01-0001' AS address, CAST(0 AS BIGINT) AS token, CAST(q AS DOUBLE) AS value FROM l WHERE k = 1 AND q = 17""")
 def find_equal(spark, sf_dir):
     series = shared.once(spark, (sf_dir, "series-lineitems"), lambda: t.series_lineitems(spark, sf_dir), ("run_id",))
@@ -581,7 +581,7 @@ def sql_functions(spark, sf_dir):
 @query("SELECT 'N-24-' || lpad(CAST(k AS VARCHAR), 4, '0') AS address FROM range(7, 121) x(k) UNION ALL SELECT 'A-01-02' UNION ALL SELECT 'LOGITS' UNION ALL SELECT 'L-' || lpad(CAST(k AS VARCHAR), 2, '0') FROM range(1, 33) x(k)")
 def sql_expand_address(spark, sf_dir):
     sql.register(spark)
-    return spark.sql("SELECT e.address FROM VALUES ('N-24-0007..0120'), ('A-01-02'), ('LOGITS'), ('L-01..32') AS s(span), LATERAL expand_address(s.span) e")
+    return spark.sql("SELECT explode(l) AS address FROM (SELECT expand_address(span) AS l FROM VALUES ('N-24-0007..0120'), ('A-01-02'), ('LOGITS'), ('L-01..32') AS s(span))")
 
 
 # Streams -------------------------------------------------------------------------------------------
