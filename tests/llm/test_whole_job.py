@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from tapelark.llm import near, queries
@@ -59,6 +60,14 @@ def test_near_copies_of_the_stage(spark, monkeypatch, short):
     assert {r.doc_id for r in got.collect()} == want and 20 < len(want) < len(texts) - 20
 
 
+def test_shared_shingles_in_columns(monkeypatch):
+    monkeypatch.setattr(near, "_COLUMNS", 7)
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 5, 30, 60, 60)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets]
+    assert near.shared_shingles(sets, sets[2:]).tolist() == want and near.shared_shingles([], sets).shape == (0, 6)
+
+
 def test_stage_uses_jaccard(spark):
     """Eight of 400 words changed: 0.82 alike, and more than two bits of a fingerprint apart."""
     import corpus_pipeline
