@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 import webbrowser
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -22,7 +23,7 @@ from tapelark.operators.frame import MOST_ADDRESSES, TABLE_ADDRESSES, TABLE_TOKE
 from tapelark.plans.find import find_runs
 from tapelark.plans.query import token_range
 from tapelark.recorder import watch
-from tapelark.sources import checkpoints
+from tapelark.sources import checkpoints, shared
 from tapelark.sources.store import Store, document
 
 
@@ -105,7 +106,7 @@ def compare(spark, store: Store, a) -> list[str]:
     return out
 
 
-def verify(spark, store: Store, a) -> list[str]:
+def verify(spark, store: Store, a) -> Iterator[str]:
     checked = store.verified()
     if not a.all:
         if not a.run_ids:
@@ -115,13 +116,14 @@ def verify(spark, store: Store, a) -> list[str]:
         if len(a.run_ids) == 1 and checked.filter("ok IS NULL").count():
             raise NotFound(f"{a.run_ids[0]} not found")
         checked = checked.select("run_id", F.coalesce("ok", F.lit(False)).alias("ok"))
-    rows = checked.orderBy("run_id").collect()
-    out = [json.dumps([{"run": r.run_id, "ok": r.ok} for r in rows])] if a.json else [f"{r.run_id} {'OK' if r.ok else 'FAIL'}" for r in rows]
-    total = seal.summary(checked).head()
+    with shared.written(checked, "verified") as held:
+        rows, total = held.orderBy("run_id"), seal.summary(held).head()
+        if a.json:
+            yield json.dumps([{"run": r.run_id, "ok": r.ok} for r in rows.collect()])
+        else:
+            yield from (f"{r.run_id} {'OK' if r.ok else 'FAIL'}" for r in rows.toLocalIterator())
     if total.failed:
-        print("\n".join(out))
         raise SealBroken(f"{total.failed} of {total.ok + total.failed} runs fail")
-    return out
 
 
 def view(spark, store: Store, a) -> list[str]:
@@ -153,9 +155,12 @@ def view(spark, store: Store, a) -> list[str]:
     return [viewer.format_table(doc, rows, names, good, watched, seal_row.hash if seal_row else "0" * 64, not a.no_color)]
 
 
-def size(spark, store: Store, a) -> list[str]:
+def size(spark, store: Store, a) -> Iterator[str]:
     rows = report.by_run(store.sizes()).orderBy("run_id") if a.by_run else report.by_model(store.sizes()).orderBy("model")
-    return [r.j for r in json_lines(rows).collect()] if a.json else ["  ".join(map(str, r)) for r in rows.collect()]
+    if a.json:
+        yield from (r.j for r in json_lines(rows).toLocalIterator())
+    else:
+        yield from ("  ".join(map(str, r)) for r in rows.toLocalIterator())
 
 
 def export(spark, store: Store, a) -> list[str]:
