@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import itertools
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows of an Arrow batch, and about the bytes of what a worker turns into Python objects at a time.
+BATCH_ROWS, PIECE_BYTES = 1000, 8 << 20
+
 _serial = itertools.count()
 _own: list[str] = []
 
@@ -82,6 +89,47 @@ def drop(df: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows at most for what runs meanwhile; executor and worker both hold whole ones."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name, None)
+    if own is None or not 0 < int(own) <= rows:
+        spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, own)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker waits for its next task, or goes on to another operator, without it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def by_pieces(run: Callable, total: int = PIECE_BYTES) -> Callable:
+    """``run`` for mapInArrow over batches cut to about ``total`` bytes; what it has freed goes back when it ends."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, batch.num_rows * total // max(total, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(cut(batches))
+        give_back()
+
+    return whole
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Bytes of a materialized table's files, which is what a size check before a broadcast looks at."""
     path = df._tapelark_path

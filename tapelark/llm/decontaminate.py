@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapelark.llm.common import drop, materialize
+from tapelark.llm.common import by_pieces, drop, materialize
 from tapelark.llm.fm_index import FMIndex
 
 WINDOW, SHARD_WORDS = 13, 1_500_000
@@ -252,7 +252,7 @@ def _over(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, f
                     held = [{"n_words": f.n_words, "items": sorted(f.items), "spans": [{"start": x, "end": y} for x, y in f.merged()]} for f in found]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(held, _FOUND_ARROW)], names=halfway.names)
 
-        return run
+        return by_pieces(run)
 
     blocks = next(every)
     while (more := next(every, None)) is not None:

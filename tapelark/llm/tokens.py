@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tapelark.llm.common import materialize, scratch, sized
+from tapelark.llm.common import by_pieces, materialize, scratch, short_batches, sized
 
 END_ID, PACK_BYTES = 0, 4 << 20
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 1024, 8 << 10, 64 << 10, 3
@@ -74,7 +74,8 @@ class Encoder:
     if the tokenizer is of another kind.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int | None = None) -> None:
+        self.remembered = REMEMBERED if remembered is None else remembered
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
@@ -88,8 +89,8 @@ class Encoder:
         self.codes, self.known, self.flat, self.ends, self.met = _Codes(), 0, np.zeros(0, f"<u{self.width}"), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        """Keep half of REMEMBERED units at most, those met most often, under new numbers; their counts are halved."""
-        kept = np.sort(np.argpartition(-self.met[: self.known], REMEMBERED // 2)[: REMEMBERED // 2])
+        """Keep half of ``remembered`` units at most, those met most often, under new numbers; their counts are halved."""
+        kept = np.sort(np.argpartition(-self.met[: self.known], self.remembered // 2)[: self.remembered // 2])
         kept = kept[self.met[kept] > 1]
         units, sizes = list(self.codes), self.ends[kept + 1] - self.ends[kept]
         self.codes = _Codes(zip(map(units.__getitem__, kept.tolist()), range(len(kept)), strict=True))
@@ -122,7 +123,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``width``."""
-        if len(self.codes) > REMEMBERED:
+        if len(self.codes) > self.remembered:
             self._forget()
         cut = [self._units(t or "") for t in texts]
         counts = np.array([len(u) if u else 0 for u in cut], np.int64)
@@ -140,8 +141,8 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, remembered: int | None = None) -> Encoder:
+    return Encoder(path, remembered)
 
 
 def _in_parts(sizes: list[int], most: int = 1000, total: int = 2 << 20) -> Iterator[tuple[int, int]]:
@@ -156,7 +157,7 @@ def _in_parts(sizes: list[int], most: int = 1000, total: int = 2 << 20) -> Itera
         yield start, len(sizes)
 
 
-def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str, remembered: int | None = None) -> bytes:
     """A dictionary for id arrays from a bounded sample; empty where the sample is too small to train on."""
     place = F.xxhash64(id_col).alias("h")
     edge = docs.select(place).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
@@ -165,13 +166,14 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) ->
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = encoder(path, remembered)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[:SAMPLE_BYTES] for x in encode(texts)], pa.binary())], names=["h", "ids"])
+            ids = [x[:SAMPLE_BYTES] for a, b in _in_parts([len(t) for t in texts]) for x in encode(texts[a:b])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["h", "ids"])
 
     cut = docs.select(place, F.xxhash64(text_col).alias("mark"), F.substring(text_col, 1, SAMPLE_BYTES).alias("text")).filter(F.col("h") <= edge)
-    picked = cut.orderBy("h", "mark").limit(SAMPLE_DOCS).select("h", "text").mapInArrow(run, schema)
+    picked = cut.orderBy("h", "mark").limit(SAMPLE_DOCS).select("h", "text").mapInArrow(by_pieces(run), schema)
     samples = [bytes(r.ids) for r in sorted(picked.collect(), key=lambda r: (r.h, bytes(r.ids))) if r.ids]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
@@ -190,17 +192,17 @@ def _dict(raw: bytes):
     return zstandard.ZstdCompressionDict(raw) if raw else None
 
 
-def write(docs: DataFrame, target: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, pack_bytes: int = PACK_BYTES) -> None:
-    """Encode every text, append ``end_id``, and write packs and dictionary under the folder ``target``."""
+def write(docs: DataFrame, target: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, pack_bytes: int = PACK_BYTES, remembered: int | None = None) -> None:
+    """Encode every text, append ``end_id``, and write packs and dictionary under the folder ``target``; ``remembered`` units by a worker."""
     spark = docs.sparkSession
-    trained = train_dictionary(docs, path, id_col, text_col)
+    trained = train_dictionary(docs, path, id_col, text_col, remembered)
     digest = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(digest, trained)], "dict_sha256 string, bytes binary").coalesce(1).write.parquet(f"{target}/dictionary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = encoder(path)
+        encode = encoder(path, remembered)
         end = np.array([end_id], f"<u{encode.width}").tobytes()
         pack_to = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(trained), write_checksum=False)
         part, pack = TaskContext.get().partitionId(), 0
@@ -235,7 +237,8 @@ def write(docs: DataFrame, target: str, path: str, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").select("doc_id", "text")
-    ordered.mapInArrow(run, PACK).write.option("compression", "none").parquet(f"{target}/packs")
+    with short_batches(spark):
+        ordered.mapInArrow(by_pieces(run), PACK).write.option("compression", "none").parquet(f"{target}/packs")
 
 
 def packs(spark: SparkSession, target: str) -> DataFrame:
@@ -301,10 +304,10 @@ def digests(spark: SparkSession, target: str) -> DataFrame:
     return rows.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:
     """Write the documents in the file format into the shared folder and digest what the files hold."""
     import uuid
 
     target = f"{scratch(docs.sparkSession)}/tapelark/tokens-{uuid.uuid4().hex[:12]}"
-    write(docs, target, path, id_col, text_col)
+    write(docs, target, path, id_col, text_col, remembered=remembered)
     return digests(docs.sparkSession, target)

@@ -4,9 +4,10 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tapelark.llm import near, queries
+from tapelark.llm import common, near, queries, tokens
 
 
 def words(draw, n, top=3000):
@@ -116,3 +117,37 @@ def test_long_lines(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.removed_lines for r in queries.op4_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {k: "" for k in range(len(texts))} | {5: "0", 6: "1", 7: "0,1", 8: "1,3", 10: "1,2,3"}
+
+
+def test_batches_are_short_for_a_while(spark):
+    """Executor and worker hold short batches while an action runs; the session's own setting comes back, and no row is lost."""
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(0, 100, 1, 1)
+
+    def held():
+        run = lambda batches: (pa.RecordBatch.from_pydict({"id": [b.num_rows]}) for b in batches)
+        return [r.id for r in docs.mapInArrow(run, "id long").collect()]
+
+    own = spark.conf.get(name, None)
+    with common.short_batches(spark, 7):
+        sizes = held()
+    assert max(sizes) == 7 and sum(sizes) == 100 and spark.conf.get(name, None) == own and held() == [100]
+    seen = []
+    run = common.by_pieces(lambda batches: (seen.append(b.num_rows) or b for b in batches), 800)
+    out = list(run(iter([pa.RecordBatch.from_pydict({"id": list(range(at, at + 250))}) for at in (0, 250)])))
+    assert max(seen) <= 100 and [x for b in out for x in b.column(0).to_pylist()] == list(range(500))
+
+
+def test_pipeline_remembers_fewer_units(monkeypatch):
+    """The last stage says how much its workers may remember; ids are the library's whatever that is."""
+    import corpus_pipeline
+
+    asked = {}
+    monkeypatch.setattr(tokens, "round_trip", lambda docs, path, **more: asked.update(more))
+    corpus_pipeline.token_output(None, None, "")
+    assert asked["remembered"] <= 400_000
+    draw, encode = random.Random(7), tokens.Encoder(queries.tokenizer_path(), 60)
+    for _ in range(30):
+        texts = [" ".join(words(draw, 20, 500)) for _ in range(3)]
+        for t, raw in zip(texts, encode(texts), strict=True):
+            assert np.frombuffer(raw, "<u2").tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(encode.codes) <= 60 + 3 * 20
