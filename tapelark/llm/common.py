@@ -8,11 +8,13 @@ import itertools
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError, Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of an Arrow batch, and about the bytes of what a worker turns into Python objects at a time.
 BATCH_ROWS, PIECE_BYTES = 1000, 8 << 20
 
+#: Seconds between two times that the driver gives memory back, and such times without a job before that ends.
+EVERY_S, IDLE_TIMES = 10, 30
+
 _serial = itertools.count()
 _own: list[str] = []
 
@@ -114,6 +119,55 @@ def give_back() -> None:
         pass
 
 
+def driver_gives_back(spark: SparkSession) -> bool:
+    """Return to the system what the driver has freed outside the JVM's heap; whether its JVM can do that (HotSpot on glibc).
+
+    Compilers and native libraries take memory from many threads, and what they have freed stays with the process otherwise.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+    def array(kind, *items):
+        out = gateway.new_array(kind, len(items))
+        for k, x in enumerate(items):
+            out[k] = x
+        return out
+
+    give_back()
+    try:
+        # By reflection, as the server's own class is not open to others.
+        named, one, kind = jvm.java.lang.Class.forName, jvm.Object, jvm.java.lang.Class
+        ways = [named(x) for x in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", array(kind, *ways))
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(one, name, "systemTrimNativeHeap", array(one), array(jvm.String)))
+    except Py4JJavaError:
+        return False
+    return True
+
+
+_giver: threading.Thread | None = None
+
+
+def keep_giving_back(spark: SparkSession, every: float | None = None) -> None:
+    """``driver_gives_back`` now, and again and again while jobs run: those of a lazy result run after its function has returned."""
+    global _giver
+    context, every = spark.sparkContext, EVERY_S if every is None else every
+
+    def run() -> None:
+        idle = 0
+        while idle < IDLE_TIMES and not pause.wait(every):
+            try:
+                idle = 0 if context.statusTracker().getActiveJobsIds() else idle + 1
+                driver_gives_back(spark)
+            except (Py4JError, AttributeError, OSError):  # the session has ended
+                return
+
+    if driver_gives_back(spark) and not (_giver and _giver.is_alive()):
+        pause = threading.Event()
+        _giver = threading.Thread(target=run, name="tapelark-gives-back", daemon=True)
+        _giver.start()
+
+
 def by_pieces(run: Callable, total: int = PIECE_BYTES) -> Callable:
     """``run`` for mapInArrow over batches cut to about ``total`` bytes; what it has freed goes back when it ends."""
 

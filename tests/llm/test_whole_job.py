@@ -1,6 +1,7 @@
 """The corpus operators where they once did less than the whole job."""
 
 import random
+import threading
 
 import brute
 import numpy as np
@@ -151,3 +152,29 @@ def test_pipeline_remembers_fewer_units(monkeypatch):
         for t, raw in zip(texts, encode(texts), strict=True):
             assert np.frombuffer(raw, "<u2").tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
     assert len(encode.codes) <= 60 + 3 * 20
+
+
+def test_driver_gives_memory_back(spark, monkeypatch):
+    """What the driver has freed outside its heap goes back to the system, and does so while the jobs of each stage's result run."""
+    import corpus_pipeline
+
+    assert common.driver_gives_back(spark)
+    seen, again = [], threading.Event()
+    real = common.driver_gives_back
+    monkeypatch.setattr(common, "driver_gives_back", lambda s: (seen.append(threading.current_thread().name), len(seen) > 3 and again.set(), real(s))[2])
+    monkeypatch.setattr(common, "EVERY_S", 0.05)
+    monkeypatch.setattr(common, "IDLE_TIMES", 10)
+    monkeypatch.setattr(common, "_giver", None)
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c{k}", f"s{k % 2}", 8) for k in range(6)], "doc_id long, text string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["source_mixing"](spark, docs, "")
+    assert seen[0] == threading.current_thread().name and again.wait(30) and "tapelark-gives-back" in seen
+    assert out.count() >= 6
+    giver = common._giver
+    giver.join(30)
+    assert not giver.is_alive()
+    for name, stage in corpus_pipeline.STAGES:
+        asked = []
+        monkeypatch.setattr(corpus_pipeline, "keep_giving_back", asked.append)
+        with pytest.raises(Exception):  # noqa: B017, PT011  nothing to work on: only what comes first is looked at
+            stage(spark, None, "")
+        assert asked == [spark], name
